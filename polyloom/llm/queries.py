@@ -11,6 +11,7 @@ from polyloom.llm.packing import pack, pack_sql
 from polyloom.llm.polyhash import exact_duplicates
 from polyloom.llm.revisits import crawl_records, resolve_revisits, revisits_sql
 from polyloom.llm.secrets import secret_findings
+from polyloom.llm.toxicity import toxic_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_findings(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_secrets": op3_secrets,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_duplicates": op6_exact_duplicates,
     "op7_revisits": op7_revisits,
     "op8_packing": op8_packing,
