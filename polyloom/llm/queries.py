@@ -11,6 +11,7 @@ from polyloom.llm.packing import pack, pack_sql
 from polyloom.llm.polyhash import exact_duplicates
 from polyloom.llm.revisits import crawl_records, resolve_revisits, revisits_sql
 from polyloom.llm.secrets import secret_findings
+from polyloom.llm.simhash import near_groups
 from polyloom.llm.toxicity import toxic_documents
 
 
@@ -46,6 +47,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents")).drop("content")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_secrets": op3_secrets,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_duplicates": op6_exact_duplicates,
     "op7_revisits": op7_revisits,
     "op8_packing": op8_packing,
+    "op9_near_duplicates": op9_near_duplicates,
     "llm_fingerprint_groups": llm_fingerprint_groups,
 }
 
