@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from polyloom.llm.fingerprint import fingerprints
+from polyloom.llm.lines import removed_lines, removed_sql
+from polyloom.llm.mixing import mixture, mixture_sql
 from polyloom.llm.packing import pack, pack_sql
 from polyloom.llm.polyhash import exact_duplicates
 from polyloom.llm.revisits import crawl_records, resolve_revisits, revisits_sql
@@ -23,6 +25,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(_table(spark, sf_dir, "documents"))
+
+
 def llm_fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_fingerprints(spark, sf_dir).select("doc_id", "group_id", "group_size")
 
@@ -51,18 +57,26 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents")).drop("content")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_lines(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_mixing": op2_mixing,
     "op3_secrets": op3_secrets,
     "op5_toxicity": op5_toxicity,
     "op6_exact_duplicates": op6_exact_duplicates,
     "op7_revisits": op7_revisits,
     "op8_packing": op8_packing,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_line_dedup": op10_line_dedup,
     "llm_fingerprint_groups": llm_fingerprint_groups,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mixing": mixture_sql(),
+    "op10_line_dedup": removed_sql(),
     "llm_fingerprint_groups": """
 with c as (select doc_id, replace(lower(nfc_normalize(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 'ß', 'ss') as canon from documents)
 select doc_id, min(doc_id) over (partition by canon) as group_id, count(*) over (partition by canon) as group_size from c""",
