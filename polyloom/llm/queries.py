@@ -10,6 +10,7 @@ from polyloom.llm.fingerprint import fingerprints
 from polyloom.llm.lines import removed_lines, removed_sql
 from polyloom.llm.mixing import mixture, mixture_sql
 from polyloom.llm.packing import pack, pack_sql
+from polyloom.llm.pii import personal_data
 from polyloom.llm.polyhash import exact_duplicates
 from polyloom.llm.revisits import crawl_records, resolve_revisits, revisits_sql
 from polyloom.llm.secrets import secret_findings
@@ -37,6 +38,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_findings(_table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
     "op3_secrets": op3_secrets,
+    "op4_personal_data": op4_personal_data,
     "op5_toxicity": op5_toxicity,
     "op6_exact_duplicates": op6_exact_duplicates,
     "op7_revisits": op7_revisits,
