@@ -24,6 +24,19 @@ BUCKET = 320
 SEED = 20250101
 
 
+#: Eight bits as eight counters of a byte in one word of 64 bits.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0].copy()
+
+
+def _ones_by_text(lanes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each of the 256 bits is set in the rows of each text. Counters of a byte are added in stretches of at most 255 rows."""
+    stretches = -(-counts // 255)
+    begin = np.cumsum(stretches) - stretches
+    at = np.repeat(first, stretches) + (np.arange(stretches.sum()) - np.repeat(begin, stretches)) * 255
+    sums = np.add.reduceat(_SPREAD[lanes.view(np.uint8)], at, axis=0)
+    return np.add.reduceat(sums.view(np.uint8).astype(np.int32), begin, axis=0)
+
+
 def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(four 64-bit lanes for each text, whether it has a word). Features are the distinct pairs of neighbouring words, the first word with a start mark."""
     out, some = np.zeros((len(texts), LANES), np.uint64), np.zeros(len(texts), bool)
@@ -45,8 +58,7 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pair, rows = pair[fresh], rows[fresh]
         present, first, counts = np.unique(rows, return_index=True, return_counts=True)
         lanes = np.stack([mix(pair + np.uint64((0xA0761D6478BD642F * (k + 1)) % (1 << 64))) for k in range(LANES)], 1)
-        bits = np.unpackbits(lanes.view(np.uint8), axis=1)
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        ones = _ones_by_text(lanes, first, counts)
         # an even split is settled by the pairs' own sum, so that it doesn't favour ones
         majority = (2 * ones > counts[:, None]) | ((2 * ones == counts[:, None]) & (np.arange(BITS) % 2 == 1))
         out[a:b][present] = np.packbits(majority, axis=1).view(np.uint64)

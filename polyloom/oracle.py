@@ -1,3 +1,9 @@
 """DuckDB SQL for the queries of the same names."""
 
+from __future__ import annotations
+
+from polyloom.registry import catalog, extensions, layout, media, text
+
 ORACLES: dict[str, str] = {}
+for _part in (text, catalog, media, layout, extensions):
+    ORACLES |= _part.ORACLES

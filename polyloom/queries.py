@@ -1,3 +1,13 @@
-"""The registry of the library's own queries."""
+"""The registry of the library's own queries: each runs over whole tables."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from polyloom.registry import catalog, extensions, layout, media, text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+for _part in (text, catalog, media, layout, extensions):
+    QUERIES |= _part.QUERIES
