@@ -9,6 +9,8 @@ equal length are confirmed chunk by chunk.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -119,21 +121,34 @@ def _combined(parts: Column) -> Column:
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that have copies: doc_id, group_id (the least doc_id of the group), group_size, is_first.
 
-    Copies have the same bytes. Only rows whose fingerprint and length occur again are read a second time;
-    their chunks are compared one position at a time, so a document is never held whole by the comparison.
+    Copies have the same bytes. Only rows whose fingerprint and length occur again are read a second time; their
+    chunks are then compared position by position with those of one row of the bucket, and rows that differ
+    anywhere are compared among themselves in another round. No comparison holds more than a chunk of each row.
     Null text: no copy of anything. Empty texts are copies of each other. A null doc_id is kept and is
     never the group's least unless all are null. Rows repeated with the same id are copies of each other,
     is_first is true for each row that has the least id. Other columns are ignored. Empty input: empty result.
     """
     base = row_ids(docs, id_col, text_col).where(F.col("text").isNotNull())
-    hashed = base.select("doc_id", F.octet_length("text").alias("n"), _hash_chunks()(chunks(F.col("text"))).alias("parts")).select("doc_id", "n", _combined(F.col("parts")).alias("f"))
-    key = ["f", "n"]
-    hashed = materialize(hashed.withColumn("n_same", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("n_same > 1"), "polyhash")
+    n, parts = F.octet_length("text").alias("n"), _hash_chunks()(chunks(F.col("text"))).alias("parts")
+    hashed = base.select("doc_id", n, parts).select("doc_id", "n", _combined(F.col("parts")).alias("f"))
+    hashed = materialize(hashed.withColumn("n_same", F.count(F.lit(1)).over(Window.partitionBy("f", "n"))).where("n_same > 1"), "polyhash")
     may = bloom(hashed, "doc_id")
-    # one row for each chunk of a candidate; a digest of the whole tells apart the rows that share an id
-    again = base.where(might_contain(may, F.col("doc_id"))).select("doc_id", F.octet_length("text").alias("n"), _hash_chunks()(chunks(F.col("text"))).alias("parts"), chunks(F.col("text")).alias("c")).select("doc_id", "n", _combined(F.col("parts")).alias("f"), "c")
-    again = again.withColumn("n_same", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("n_same > 1")
-    # arrays of chunks compare chunk after chunk and stop at the first that differs
-    same = Window.partitionBy("f", "n", "c")
-    out = again.select("doc_id", F.min("doc_id").over(same).alias("group_id"), F.count(F.lit(1)).over(same).alias("group_size"))
-    return out.where("group_size > 1").withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("group_id")))
+    again = base.where(might_contain(may, F.col("doc_id"))).select("doc_id", F.monotonically_increasing_id().alias("row"), n, parts, chunks(F.col("text")).alias("c"))
+    again = again.select("doc_id", "row", "n", _combined(F.col("parts")).alias("f"), F.posexplode("c").alias("pos", "chunk"))
+    found, todo = [], again
+    while True:
+        verdict = materialize(_compared(todo), "compared")
+        same = Window.partitionBy("f", "n")
+        found.append(verdict.where("same").select("doc_id", F.min("doc_id").over(same).alias("group_id"), F.count(F.lit(1)).over(same).alias("group_size")).where("group_size > 1"))
+        rest = verdict.where("not same").select("row")
+        if rest.isEmpty():
+            break
+        todo = again.join(rest, "row", "left_semi")
+    return functools.reduce(DataFrame.unionByName, found).withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("group_id")))
+
+
+def _compared(todo: DataFrame) -> DataFrame:
+    """doc_id, row, n, f, same: whether each of the row's chunks equals that of the first row of its bucket. Rows alone in a bucket go."""
+    place = Window.partitionBy("f", "n", "pos")
+    met = todo.select("*", F.min_by("chunk", "row").over(place).alias("first"), F.count(F.lit(1)).over(place).alias("rows")).where("rows > 1")
+    return met.groupBy("f", "n", "row").agg(F.any_value("doc_id").alias("doc_id"), F.bool_and(F.col("chunk") == F.col("first")).alias("same"))
