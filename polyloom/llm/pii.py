@@ -41,6 +41,8 @@ def shape_of(word: str) -> str:
 
 
 _OPEN, _CLOSE = "\"'<[{", "\"'>]},;:!?."
+#: Marks that may stick to an entity's end; they aren't part of it.
+_JUNK = _CLOSE + "#%&*$|"
 
 
 @functools.cache
@@ -327,7 +329,7 @@ def entities(texts: pa.Array, decoder: Decoder) -> list[list[dict]]:
             at = s
             surface = data[s:e].tobytes().decode("utf-8", "surrogatepass")
             row, name = out[a + t], LABELS[label]
-            end = chars + len(surface.rstrip(_CLOSE if "(" in surface else _CLOSE + ")"))
+            end = chars + len(surface.rstrip(_JUNK if "(" in surface else _JUNK + ")"))
             if name[0] == "I" and word == word_before + 1 and row[-1]["kind"] == name[2:]:
                 row[-1]["end"] = end
             else:
