@@ -73,19 +73,18 @@ def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     found = materialize(boilerplate(docs, id_col, text_col, site_col, min_sites, min_chars).select("h", "first"), "boilerplate")
     drops = materialize(_dropped(docs, found, id_col, text_col, site_col, min_chars), "drops")
-    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    marks = drops.select(F.col("doc").alias("__d"), F.col("content").alias("__c"), F.col("drop").alias("__drop"))
+    whole = docs.select(F.struct("*").alias("row"))  # as one column, so that no name of the caller's can clash
+    id_, text = F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")
     may = bloom(drops.select(F.xxhash64("doc", "content").alias("k")), "k")
     suspect = F.coalesce(might_contain(may, F.xxhash64(id_, F.xxhash64(text))), F.lit(False)) & text.isNotNull()
-    met = docs.where(suspect).withColumn("__content", F.xxhash64(text)).join(marks, id_.eqNullSafe(F.col("__d")) & (F.col("__content") == F.col("__c")), "inner" if changed_only else "left")
-    lines = F.split(text, "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains("__drop", i))
+    met = whole.where(suspect).withColumn("own", F.xxhash64(text)).join(drops, id_.eqNullSafe(F.col("doc")) & (F.col("own") == F.col("content")), "inner" if changed_only else "left")
+    left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("drop", i))
     rest = F.array_join(left, "\n")
     if changed_only:
-        return met.select(id_.alias("doc_id"), F.size("__drop").alias("removed"), F.size(left).alias("kept"), rest.alias("text"))
-    names = [F.col(f"`{c}`") if c != text_col else F.when(F.col("__drop").isNull(), text).otherwise(rest).alias(c) for c in docs.columns]
-    met = met.withColumn("__empty", F.col("__drop").isNotNull() & F.coalesce(F.trim(F.regexp_replace(rest, r"\s+", " ")) == "", F.lit(False))).where("not __empty")
-    return docs.where(~suspect).unionByName(met.select(*names))
+        return met.select(id_.alias("doc_id"), F.size("drop").alias("removed"), F.size(left).alias("kept"), rest.alias("text"))
+    met = met.withColumn("text", F.when(F.col("drop").isNull(), text).otherwise(rest))
+    met = met.where(F.col("drop").isNull() | ~F.col("text").rlike(r"\A\s*\z"))
+    return whole.where(~suspect).select("row.*").unionByName(met.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]))
 
 
 def removed_sql(min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> str:

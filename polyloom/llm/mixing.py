@@ -89,10 +89,11 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **options) -> DataFrame:
     """The sampled rows of ``docs``, all columns kept."""
-    cells = materialize(probabilities(docs, id_col, text_col, source_col, lang_col, **options), "cells").select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.col("probability").alias("__p"))
-    text = F.col(f"`{text_col}`")
-    met = docs.withColumns({"__topic": topic(text), "__u": uniform(F.col(f"`{id_col}`"), text)}).join(cells, F.col(f"`{source_col}`").eqNullSafe(F.col("__s")) & F.col(f"`{lang_col}`").eqNullSafe(F.col("__l")) & (F.col("__topic") == F.col("__t")))
-    return met.where("__u < __p").select(*[F.col(f"`{c}`") for c in docs.columns])
+    cells = materialize(probabilities(docs, id_col, text_col, source_col, lang_col, **options), "cells").select(F.col("source").alias("s"), F.col("lang").alias("l"), F.col("topic").alias("t"), "probability")
+    whole = docs.select(F.struct("*").alias("row"))  # as one column, so that no name of the caller's can clash
+    id_, text, source, lang = (F.col(f"row.`{c}`") for c in (id_col, text_col, source_col, lang_col))
+    met = whole.withColumns({"topic": topic(text), "u": uniform(id_, text)}).join(cells, source.eqNullSafe(F.col("s")) & lang.eqNullSafe(F.col("l")) & (F.col("topic") == F.col("t")))
+    return met.where("u < probability").select("row.*")
 
 
 def mixture_sql() -> str:

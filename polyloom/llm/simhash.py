@@ -242,16 +242,16 @@ def without_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Only rows that a Bloom prefilter can't clear are shuffled; the others pass as they are read.
     """
     groups = materialize(near_groups(docs, id_col, text_col), "groups")
-    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    whole = docs.select(F.struct("*").alias("row"))  # as one column, so that no name of the caller's can clash
+    id_, text = F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")
     # what goes, and what occurs in several equal rows of which one stays
     marks = groups.groupBy("doc_id", "content").agg(F.first("keep").alias("keep"), F.count(F.lit(1)).alias("n")).where("not keep or n > 1")
-    marks = materialize(marks.select(F.xxhash64("doc_id", "content").alias("__k"), F.col("doc_id").alias("__d"), F.col("content").alias("__c"), F.col("keep").alias("__keep")), "marks")
-    may = bloom(marks, "__k")
+    marks = materialize(marks.select(F.xxhash64("doc_id", "content").alias("k"), "doc_id", "content", "keep"), "marks")
+    may = bloom(marks, "k")
     suspect = F.coalesce(might_contain(may, F.xxhash64(id_, F.xxhash64(text))), F.lit(False)) & text.isNotNull()
-    clear = docs.where(~suspect)
-    keyed = docs.where(suspect).withColumn("__content", F.xxhash64(text))
-    met = keyed.join(marks, id_.eqNullSafe(F.col("__d")) & (F.col("__content") == F.col("__c")), "left")
-    names = [f"`{c}`" for c in docs.columns]
-    free = met.where("__c is null").select(*names)
-    one = met.where("__keep").withColumn("__n", F.row_number().over(Window.partitionBy("__d", "__c").orderBy(F.col("__content")))).where("__n = 1").select(*names)
-    return clear.unionByName(free).unionByName(one)
+    clear = whole.where(~suspect)
+    keyed = whole.where(suspect).withColumn("own", F.xxhash64(text))
+    met = keyed.join(marks, id_.eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("content")), "left")
+    free = met.where("content is null").select("row")
+    one = met.where("keep").withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "content").orderBy("own"))).where("i = 1").select("row")
+    return clear.unionByName(free).unionByName(one).select("row.*")
