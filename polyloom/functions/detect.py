@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from polyloom.functions.text import is_blank
+from polyloom.functions.text import bound, is_blank
 
 #: Function words by language. A word may be in several profiles.
 PROFILES: dict[str, tuple[str, ...]] = {
@@ -24,14 +24,9 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def profile_counts(text: Column) -> Column:
     """struct with, for each language, the number of the text's words that are in its profile."""
-    return _bound(words(text), lambda ws: F.struct(*[F.size(F.filter(ws, lambda w, p=p: w.isin(*p))).alias(code) for code, p in PROFILES.items()]))
+    return bound(words(text), lambda ws: F.struct(*[F.size(F.filter(ws, lambda w: w.isin(*p))).alias(code) for code, p in PROFILES.items()]))
 
 
 def _detect(counts: Column, hint: str | None = None) -> Column:
@@ -45,7 +40,7 @@ def _detect(counts: Column, hint: str | None = None) -> Column:
 
 def detect_language(text: Column, hint: str | None = None) -> Column:
     """struct(language, is_reliable, confidence): confidence is the winner's share of all counts in percent; null without any known word."""
-    return _bound(profile_counts(text), lambda counts: _detect(counts, hint))
+    return bound(profile_counts(text), lambda counts: _detect(counts, hint))
 
 
 def detect_robust(text: Column, available: list[str], hint: str | None = None) -> Column:
@@ -60,7 +55,7 @@ def detect_robust(text: Column, available: list[str], hint: str | None = None) -
                 tries.append(F.when(again["is_reliable"] & (again["language"] == code), F.lit(code)))
         return F.coalesce(*tries, F.lit(None).cast("string"))
 
-    return F.when(is_blank(text), None).otherwise(_bound(profile_counts(text), code_of))
+    return F.when(is_blank(text), None).otherwise(bound(profile_counts(text), code_of))
 
 
 def kernel_detector(classify: Callable[[list[str | None]], list[tuple[str, bool, int] | None]]):

@@ -35,7 +35,8 @@ def best_pause_split(text: Column) -> Column:
     n = F.char_length(text)
     first = lambda i: unicode_trim(F.substring(text, F.lit(1), i + 1))
     second = lambda i: unicode_trim(F.substring(text, i + 2, n))
-    marks = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.contains(F.lit(CLAUSE), F.substring(text, i + 1, F.lit(1))))
+    letters = F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    marks = F.transform(F.filter(letters, lambda x: x["c"].isin(*CLAUSE)), lambda x: x["i"])
     sides = F.transform(marks, lambda i: F.struct(i.alias("i"), first(i).alias("first"), second(i).alias("second")))
     least = F.greatest(F.lit(LEAST_SIDE), F.floor(n / 4))
     good = F.filter(sides, lambda s: (F.char_length(s["first"]) >= least) & (F.char_length(s["second"]) >= least))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,13 +43,21 @@ def split_sentences(c: Column) -> Column:
     return F.when(is_blank(c), F.array().cast("array<string>")).otherwise(F.split(c, rf"(?<=[.!?]){WS}+(?=\p{{Lu}})"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sentence_spans(c: Column) -> Column:
     """Array of struct(k, start, text): the sentences with their character offsets."""
-    parts = F.split(F.regexp_replace(c, rf"(?<=[.!?])({WS}+)(?=\p{{Lu}})", MARK + "$1" + MARK), MARK)
-    lengths = F.transform(parts, F.char_length)
-    ends = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    each = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 2).cast("int")), lambda k: F.struct(k.alias("k"), F.get(ends, k * 2).alias("start"), F.get(parts, k * 2).alias("text")))
-    return F.when(is_blank(c), F.array().cast("array<struct<k:int,start:int,text:string>>")).otherwise(each)
+    pieces = F.split(F.regexp_replace(c, rf"(?<=[.!?])({WS}+)(?=\p{{Lu}})", MARK + "$1" + MARK), MARK)
+
+    def each(parts: Column) -> Column:
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.char_length(p)))
+        count = F.floor((F.size(parts) - 1) / 2).cast("int")
+        return bound(ends, lambda e: F.transform(F.sequence(F.lit(0), count), lambda k: F.struct(k.alias("k"), F.get(e, k * 2).alias("start"), F.get(parts, k * 2).alias("text"))))
+
+    return F.when(is_blank(c), F.array().cast("array<struct<k:int,start:int,text:string>>")).otherwise(bound(pieces, each))
 
 
 def recombine(pieces: Column) -> Column:

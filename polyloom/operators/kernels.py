@@ -36,7 +36,7 @@ def apply_kernel(rows: DataFrame, load: Callable[[str], Translate], key: str = "
     load(route) gives the batch function of a route such as ``en-es``; it is called once in a worker. Rows where ``skip``
     holds, and null texts, keep their text. A batch that raises has nulls and the message; the job goes on.
     """
-    passed = F.coalesce(skip, F.lit(False)) | F.col(text).isNull() | (F.col(text) == "")
+    passed = (F.lit(False) if skip is None else F.coalesce(skip, F.lit(False))) | F.col(text).isNull() | (F.col(text) == "")
     distinct = rows.where(~passed).select(F.col(key).alias("__key"), F.col(text).alias("__text")).distinct().repartition("__key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

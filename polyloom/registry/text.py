@@ -101,11 +101,10 @@ def recombine_sentences(spark, sf_dir):
 
 
 def align_rebase(spark, sf_dir):
-    """Word alignments of each benchmark sentence, moved to their place in the recombined text."""
+    """Word alignments of each benchmark sentence with itself, moved to their place in the recombined text."""
     spans = table(spark, sf_dir, "benchmark").select("item_id", F.inline(t.sentence_spans(F.col("text"))))
-    target = F.upper("text")
     before = Window.partitionBy("item_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = spans.withColumn("tgt_start", F.coalesce(F.sum(F.char_length(target) + 1).over(before), F.lit(0)))
+    placed = spans.withColumn("tgt_start", F.coalesce(F.sum(F.char_length("text") + 1).over(before), F.lit(0)))
     word = F.split("text", " ")
     starts = F.aggregate(F.transform(word, lambda w: F.char_length(w) + 1), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
     each = F.transform(word, lambda w, i: F.struct(i.alias("w"), F.get(starts, i).alias("b"), (F.get(starts, i) + F.char_length(w)).alias("e")))
@@ -185,7 +184,7 @@ def winansi(spark, sf_dir):
 
 def script_profile(spark, sf_dir):
     n = lambda p: F.regexp_count("text", F.lit(p)).alias
-    return table(spark, sf_dir, "documents").select("doc_id", n(r"\p{Lu}")("upper"), n(r"\p{Ll}")("lower"), n(r"\p{N}")("numbers"), n(r"\p{P}")("punctuation"), n(r"\p{Cyrillic}")("cyrillic"), n(r"\p{Greek}")("greek"))
+    return table(spark, sf_dir, "documents").select("doc_id", n(r"\p{Lu}")("upper"), n(r"\p{Ll}")("lower"), n(r"\p{N}")("numbers"), n(r"\p{P}")("punctuation"), n(r"\p{IsCyrillic}")("cyrillic"), n(r"\p{IsGreek}")("greek"))
 
 
 QUERIES = {f.__name__: f for f in (corpus_routing_summary, unique_texts, passthrough_class, numeric_text_guard, split_sentences, sentence_stats_by_lang, recombine_sentences, align_rebase, detect_language, detect_robust, batch_routing_plan, nothing_reason_by_source, mixed_translate_lexicon, translate_text_lines, dictionary_lookup, identity_alignments, xml_escape, sanitize_name, region_flag, winansi, script_profile)}

@@ -40,11 +40,15 @@ def compare(spark, name, sf_dir, query, sql):
     df = query(spark, sf_dir)
     got = rows_of(df.columns, [tuple(r.asDict(True).values()) for r in df.collect()])
     rel = connect(sf_dir).sql(sql)
+    odd = [f"{c} {t}" for c, t in zip(rel.columns, map(str, rel.types)) if t.startswith(("HUGEINT", "UHUGEINT", "DECIMAL"))]
     want = rows_of(rel.columns, rel.fetchall())
     if sorted(df.columns) != sorted(rel.columns):
         return f"columns {sorted(df.columns)} and {sorted(rel.columns)}"
+    if odd:
+        return f"types of SQL that the query doesn't have: {odd}"
     if got != want:
-        a, b = [x for x in got if x not in set(want)][:3], [x for x in want if x not in set(got)][:3]
+        here, there = set(got), set(want)
+        a, b = [x for x in got if x not in there][:3], [x for x in want if x not in here][:3]
         return f"{len(got)} and {len(want)} rows; only here {a}; only in SQL {b}"
     return None
 
