@@ -30,12 +30,12 @@ def profile_counts(text: Column) -> Column:
 
 
 def _detect(counts: Column, hint: str | None = None) -> Column:
-    """From counts; the best first, of equal ones the lesser code. A hint adds one to its language."""
+    """From counts; the best first, of equal ones the lesser code. A hint adds one to its language, but finds nothing by itself."""
     n = {code: counts[code] + (1 if code == hint else 0) for code in PROFILES}
     total = sum(n.values(), F.lit(0))
     top = F.array_min(F.array(*[F.struct((-n[code]).alias("minus"), F.lit(code).alias("language")) for code in sorted(n)]))
     confidence = F.floor(-top["minus"] * 100 / F.nullif(total, F.lit(0))).cast("int")
-    return F.when(total > 0, F.struct(top["language"].alias("language"), (confidence >= RELIABLE_PERCENT).alias("is_reliable"), confidence.alias("confidence")))
+    return F.when(sum((counts[code] for code in PROFILES), F.lit(0)) > 0, F.struct(top["language"].alias("language"), (confidence >= RELIABLE_PERCENT).alias("is_reliable"), confidence.alias("confidence")))
 
 
 def detect_language(text: Column, hint: str | None = None) -> Column:

@@ -114,8 +114,8 @@ def blocks_of(frags: list[dict]) -> list[dict]:
                         spans.append((at, len(text), f["style"]))
             segments += [(start, len(text), group)] * (len(text) > start)
             parts = [f for line in lines[a:b] for f in line]
-            for wrong in ("̸=", "̸ =", "≠"):
-                text = text.replace(wrong, "≠")
+            for wrong in ("\u0338=", "\u0338 =", "=\u0338"):
+                text = text.replace(wrong, "\u2260")
             out.append({"text": text, "l": min(f["l"] for f in parts), "t": min(f["t"] for f in parts), "r": max(f["r"] for f in parts), "b": max(f["b"] for f in parts), "opaque": all(f["opaque"] for f in parts), "spans": spans, "segments": segments})
     return out
 

@@ -28,22 +28,23 @@ def confidence_filter(words: DataFrame, least: int, relax: bool = False) -> Data
 
 
 def merge_hyphens(words: list[dict]) -> list[dict]:
-    """A word that ends its line with ``-`` is joined with the first of the next line; the word after those begins the rest of that line."""
+    """A word that ends its line with ``-`` takes in the first of the next line; the word after those begins the rest of that line.
+
+    ``wide`` is the width that the joined word would have on one line.
+    """
     out, i = [], 0
     while i < len(words):
-        w = words[i]
-        if i + 1 < len(words) and w["end_line"] and len(w["text"]) > 1 and w["text"].endswith("-") and words[i + 1]["first"]:
-            nxt = words[i + 1]
-            out.append({**w, "text": w["text"][:-1] + nxt["text"], "confidence": min(w["confidence"], nxt["confidence"]), "end_para": w["end_para"] or nxt["end_para"] and nxt["end_line"]})
-            if i + 2 < len(words) and not nxt["end_line"]:
-                after = words[i + 2]
-                out.append({**after, "l": min(nxt["l"], after["l"]), "t": min(nxt["t"], after["t"]), "r": max(nxt["r"], after["r"]), "b": max(nxt["b"], after["b"]), "first": True})
-                i += 3
-            else:
-                i += 2
-        else:
+        w, nxt = words[i], words[i + 1] if i + 1 < len(words) else None
+        below = nxt and nxt["l"] < w["l"] and nxt["t"] > w["t"]
+        if nxt is None or not w["end_line"] or not w["text"].endswith("-") or not (nxt["first"] or below):
             out.append(w)
             i += 1
+            continue
+        out.append({**w, "text": w["text"].rstrip("-") + nxt["text"], "confidence": min(w["confidence"], nxt["confidence"]), "end_line": True, "end_para": nxt["end_para"], "wide": w["r"] - w["l"] + nxt["r"] - nxt["l"]})
+        if i + 2 < len(words):
+            after = words[i + 2]
+            out.append({**after, "l": min(nxt["l"], after["l"]), "t": min(nxt["t"], after["t"]), "r": max(nxt["r"], after["r"]), "b": max(nxt["b"], after["b"]), "first": True, "wide": after["r"] - after["l"]})
+        i += 3
     return out
 
 
@@ -65,7 +66,7 @@ def lines_of(words: list[dict], join: str = " ") -> list[dict]:
             close()
             now = {k: w[k] for k in ("text", "l", "t", "r", "b")}
         else:
-            width = (w["r"] - w["l"]) / max(len(w["text"]), 1)
+            width = w.get("wide", w["r"] - w["l"]) / max(len(w["text"]), 1)
             if width > 0 and max(0, w["l"] - last_right) / width >= 3:
                 close()
                 block += 1

@@ -35,7 +35,8 @@ def _detect_sql(hint: str | None = None) -> tuple[str, str]:
     total = " + ".join(n.values())
     top = "greatest(" + ", ".join(n.values()) + ")"
     lang = "case " + " ".join(f"when {n[c]} = {top} then '{c}'" for c in sorted(n)) + " end"
-    return f"case when {total} > 0 then {lang} end", f"case when {total} > 0 then floor({top} * 100.0 / ({total}))::int end"
+    known = " + ".join(f"n_{c}" for c in d.PROFILES)
+    return f"case when {known} > 0 then {lang} end", f"case when {known} > 0 then floor({top} * 100.0 / ({total}))::int end"
 
 
 def _robust_sql(available: list[str]) -> str:

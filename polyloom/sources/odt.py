@@ -74,19 +74,55 @@ def _inline(text: str) -> str:
     return re.sub("  +", lambda m: f' <text:s text:c="{len(m[0]) - 1}"/>', out)
 
 
-def rewrite(xml: str, translate: Callable[[list[tuple[str, list]]], list[tuple[str, list]]]) -> str:
-    """``translate`` gets (text, spans) of all blocks and gives the same in the target language; overlapping spans are dropped."""
+def project(text: str, spans: list, translated: str, alignments: list[tuple[int, int, int, int]]) -> list:
+    """Styles of ``translated``: an alignment takes the style around its source's midpoint, and its target grows to whole words. One style over all of the text stays one."""
+    if len(spans) == 1 and spans[0][:2] == (0, len(text)):
+        return [(0, len(translated), spans[0][2])]
+    out = []
+    for sb, se, tb, te in alignments:
+        style = next((name for a, b, name in spans if a <= (sb + se) // 2 < b), None)
+        word = style and next((m for m in re.finditer(r"\w+", translated) if m.start() < te and m.end() > tb), None)
+        if word:
+            out.append((*word.span(), style))
+    return out
+
+
+def settled(text: str, spans: list) -> list:
+    """In order; blanks between two spans belong to the first; neighbours of one style are one; what overlaps an earlier span goes."""
+    out: list[list] = []
+    for start, end, style in sorted(spans):
+        if end <= start:
+            continue
+        if out and start < out[-1][1]:
+            if style == out[-1][2]:
+                out[-1][1] = max(end, out[-1][1])
+            continue
+        if out and start > out[-1][1] and text[out[-1][1] : start].isspace():
+            out[-1][1] = start
+        if out and out[-1][1] == start and out[-1][2] == style:
+            out[-1][1] = end
+        else:
+            out.append([start, end, style])
+    return [tuple(s) for s in out]
+
+
+def emit(text: str, spans: list) -> str:
+    """The text as inline markup."""
+    out, at = "", 0
+    for start, end, style in settled(text, spans):
+        out += _inline(text[at:start]) + f'<text:span text:style-name="{html.escape(style)}">{_inline(text[start:end])}</text:span>'
+        at = end
+    return out + _inline(text[at:])
+
+
+def rewrite(xml: str, translate: Callable[[list[str]], list[tuple[str, list]]]) -> str:
+    """``translate`` gets the texts of all blocks and gives (text, alignments) of each."""
     tokens = _TOKEN.findall(xml)
     found = list(_blocks(tokens))
     if not found:
         return xml
-    for (a, b, _, _), (text, spans) in reversed(list(zip(found, translate([(t, s) for _, _, t, s in found])))):
-        out, at = "", 0
-        for start, end, style in sorted(spans):
-            if start >= at and end > start:
-                out += _inline(text[at:start]) + f'<text:span text:style-name="{html.escape(style)}">{_inline(text[start:end])}</text:span>'
-                at = end
-        tokens[a:b] = [out + _inline(text[at:])]
+    for (a, b, text, spans), (translated, alignments) in reversed(list(zip(found, translate([t for _, _, t, _ in found])))):
+        tokens[a:b] = [emit(translated, project(text, spans, translated, alignments))]
     return "".join(tokens)
 
 
