@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from polyloom.functions.text import WS, unicode_trim
+from polyloom.functions.text import WS, bound, unicode_trim
 
 END, CLAUSE = ".?!。？！", ",;:、，；：،"
 #: A side of a split has at least so many characters, and a quarter of all. Longer phoneme strings are split.
@@ -34,15 +34,16 @@ def best_pause_split(text: Column) -> Column:
     """struct(first, second) at the clause mark that leaves the sides most alike; null if none leaves both long enough."""
     n = F.char_length(text)
     first = lambda i: unicode_trim(F.substring(text, F.lit(1), i + 1))
-    second = lambda i: unicode_trim(F.substring(text, i + 2, n))
-    letters = F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
-    marks = F.transform(F.filter(letters, lambda x: x["c"].isin(*CLAUSE)), lambda x: x["i"])
+    second = lambda i: unicode_trim(F.substring(text, i + 2, F.lit(1_000_000_000)))
+    # a mark's place is the end of the piece before it
+    pieces = F.split(text, f"[{CLAUSE}]")
+    ends = F.aggregate(pieces, F.array(F.lit(-1)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.char_length(p) + 1))
+    marks = bound(ends, lambda e: F.slice(e, F.lit(2), F.size(e) - 2))
     sides = F.transform(marks, lambda i: F.struct(i.alias("i"), first(i).alias("first"), second(i).alias("second")))
     least = F.greatest(F.lit(LEAST_SIDE), F.floor(n / 4))
     good = F.filter(sides, lambda s: (F.char_length(s["first"]) >= least) & (F.char_length(s["second"]) >= least))
     ranked = F.transform(good, lambda s: F.struct(F.abs(F.char_length(s["first"]) - F.char_length(s["second"])).alias("balance"), F.abs(n / 2 - s["i"]).alias("off"), s["i"].alias("i"), s["first"].alias("first"), s["second"].alias("second")))
-    best = F.array_min(ranked)
-    return F.when((n > 0) & best.isNotNull(), F.struct(best["first"].alias("first"), best["second"].alias("second")))
+    return bound(F.array_min(ranked), lambda best: F.when(best.isNotNull(), F.struct(best["first"].alias("first"), best["second"].alias("second"))))
 
 
 def pcm(sample: Column) -> Column:

@@ -42,7 +42,7 @@ def speech_chunks(spark, sf_dir):
 
 def best_pause_split(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_sentences(F.col("text"))).alias("k", "sentence")).where(F.char_length("sentence").between(24, 400))
-    return rows.select("doc_id", "k", s.best_pause_split(F.col("sentence")).alias("x")).where("x is not null").select("doc_id", "k", "x.first", "x.second")
+    return rows.select("doc_id", "k", F.inline(F.array_compact(F.array(s.best_pause_split(F.col("sentence"))))))  # not a filter: that would split each twice
 
 
 def pcm_convert(spark, sf_dir):
