@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ from polyloom.plans.shared import materialize
 BITS, LANES = 256, 4
 #: Two documents are near-duplicates if at most so many of their bits differ: a cosine of 0.71 between their sets of word pairs.
 MAX_DISTANCE = 64
-TABLES = 32
+#: At least so many tables; more where there are so many signatures that a pair at ``SURE_DISTANCE`` would share a bucket in none of them more often than once in ten.
+TABLES, SURE_DISTANCE = 32, 40
 #: A table's bucket that holds more is split by further sampled bits, until none does.
 BUCKET = 320
 SEED = 20250101
@@ -66,6 +68,12 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, some
 
 
+def tables_for(n: int, bucket: int = BUCKET) -> int:
+    """How many tables ``n`` signatures take. A bucket ends up with about log2(n / bucket) sampled bits, and one for uneven splits."""
+    together = (1 - SURE_DISTANCE / BITS) ** (math.log2(max(1, n / bucket)) + 1)
+    return max(TABLES, min(1023, math.ceil(math.log(0.1) / math.log(1 - together))))
+
+
 def sampled(table: int) -> np.ndarray:
     """The coordinates of a table, in the order in which they're used."""
     return np.random.default_rng((SEED, table)).permutation(BITS)
@@ -166,13 +174,14 @@ def signature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return base.select("doc_id", F.xxhash64("text").alias("content"), sign(F.lower("text")).alias("s")).where("s.some").select("doc_id", "content", *[f"s.l{k}" for k in range(LANES)])
 
 
-def candidate_edges(distinct: DataFrame, n: int, most: int = MAX_DISTANCE, tables: int = TABLES, bucket: int = BUCKET) -> DataFrame:
+def candidate_edges(distinct: DataFrame, n: int, most: int = MAX_DISTANCE, tables: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """Pairs (a, b) of signatures (id, l0..l3; all different) at a distance of at most ``most``: of each bucket, as many as connect what its near pairs connect.
 
     A table's key has as many bits as leave about ``bucket`` * 8 of ``n`` signatures in one; what still
     exceeds ``bucket`` is split by further bits, where it is read. So no signature is dropped, and none is compared with all.
     """
     bits = max(0, (n // (bucket * 8)).bit_length())
+    tables = tables or tables_for(n, bucket)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,14 +189,14 @@ def candidate_edges(distinct: DataFrame, n: int, most: int = MAX_DISTANCE, table
             columns = [batch.column(1 + k) for k in range(LANES)]
             lanes = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], 1).view(np.uint64)
             for t in range(tables):
-                key = (bits_at(lanes, sampled(t)[:bits]) << np.uint64(8)) | np.uint64(t)
+                key = (bits_at(lanes, sampled(t)[:bits]) << np.uint64(10)) | np.uint64(t)
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), ids, *columns], ["bucket", "id", *[f"l{k}" for k in range(LANES)]])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
         size = 0
         for key, ids, lanes in _runs(batches):
-            order = sampled(key & 255)
+            order = sampled(key & 1023)
             for rows in subbuckets(lanes, order, bits, bucket):
                 if len(rows) > 1:
                     edges = forest(ids[rows], *near_pairs(lanes[rows], most))

@@ -273,6 +273,14 @@ def test_many_tables_find_the_farthest_pairs(spark):
     assert sum((k, 4000 + k) in edges for k in range(300)) >= 270
 
 
+def test_more_signatures_take_more_tables():
+    counts = [simhash.tables_for(n) for n in (0, 1, 10**5, 10**7, 10**9, 10**11)]
+    assert counts == sorted(counts) and counts[0] == simhash.TABLES and 1023 >= counts[-1] > counts[-2] > counts[0]
+    for n, t in ((10**7, counts[3]), (10**9, counts[4])):
+        together = (1 - simhash.SURE_DISTANCE / simhash.BITS) ** (np.log2(n / simhash.BUCKET) + 1)
+        assert 1 - (1 - together) ** t >= 0.9
+
+
 def test_oversized_buckets_are_split_not_dropped():
     r = np.random.default_rng(2)
     lanes = r.integers(0, 2**63, (1000, 4), dtype=np.uint64)
