@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyloom.plans.folds import fold_groups
+
 FRAGMENTS = "page int, ord int, text string, l int, t int, r int, b int, style string, layout_group int, translation_group int, cluster_group int, opaque boolean"
 _MARKERS, _BULLETS = "-–—•∙◦", "●•▪◦"
 
@@ -122,14 +124,12 @@ def blocks_of(frags: list[dict]) -> list[dict]:
 
 def layout_blocks(fragments: DataFrame) -> DataFrame:
     """page, block, text, l, t, r, b, opaque, spans, segments from ``FRAGMENTS``, a page at a time."""
-    schema = "page int, block int, text string, l int, t int, r int, b int, opaque boolean, spans array<struct<start:int,end:int,style:string>>, segments array<struct<start:int,end:int,group:int>>"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ord").astype(object).where(lambda x: x.notna(), None).to_dict("records")
-        out = [{**b, "page": pdf["page"].iloc[0], "block": i, "spans": [dict(zip(("start", "end", "style"), s)) for s in b["spans"]], "segments": [dict(zip(("start", "end", "group"), s)) for s in b["segments"]]} for i, b in enumerate(blocks_of(rows))]
-        return pd.DataFrame(out, columns=["page", "block", "text", "l", "t", "r", "b", "opaque", "spans", "segments"])
+    def fold(rows: list[dict]) -> list[dict]:
+        named = lambda keys, items: [dict(zip(keys, x)) for x in items]
+        return [{**b, "block": i, "spans": named(("start", "end", "style"), b["spans"]), "segments": named(("start", "end", "group"), b["segments"])} for i, b in enumerate(blocks_of(rows))]
 
-    return fragments.groupBy("page").applyInPandas(fold, schema)
+    columns = [c.split()[0] for c in FRAGMENTS.split(", ")][1:]
+    return fold_groups(fragments, "page", columns, ["ord"], fold, "block int, text string, l int, t int, r int, b int, opaque boolean, spans array<struct<start:int,end:int,style:string>>, segments array<struct<start:int,end:int,group:int>>")
 
 
 # ---- lines and fonts ----
@@ -241,3 +241,92 @@ def prune_links(annotations: DataFrame, removed: DataFrame, page: str) -> DataFr
     gone = (F.col("subtype") == "Link") & (F.col("x0") < F.col("a1")) & (F.col("x1") > F.col("a0")) & (F.col("y0") < F.col("b1")) & (F.col("y1") > F.col("b0"))
     r = removed.withColumnRenamed(page, "__page")
     return annotations.join(r, (F.col(page) == F.col("__page")) & gone, "left_anti")
+
+
+# ---- lines to write on ----
+
+
+def baseline_threshold(sizes: list[float]) -> float:
+    good = sorted(s for s in sizes if 0 < s < float("inf"))
+    return max(1.0, 0.55 * good[len(good) // 2]) if good else 1.0
+
+
+def anchors(samples: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
+    """Where the lines of a block begin, from samples (x, y from the top, font size) of its old text, top to bottom.
+
+    A line takes what lies within the threshold of its first sample; of three lines and more, those nearer than half of the usual gap
+    (the one at three quarters of the sorted gaps) are one, so that a raised or lowered sign has no line of its own.
+    """
+    least = baseline_threshold([s[2] for s in samples])
+    lines: list[list[tuple[float, float]]] = []
+    for y, x in sorted((y, x) for x, y, _ in samples):
+        if not lines or y - lines[-1][0][0] >= least:
+            lines.append([])
+        lines[-1].append((y, x))
+    out = []
+    for line in lines:
+        y, x = min(line, key=lambda p: p[1])
+        out.append((x, y))
+    if len(out) >= 3:
+        gaps = sorted(abs(a[1] - b[1]) for a, b in zip(out, out[1:]))
+        apart, kept = max(least, gaps[len(gaps) * 3 // 4] / 2), out[:1]
+        for a in out[1:]:
+            if abs(a[1] - kept[-1][1]) >= apart:
+                kept.append(a)
+        out = kept
+    return out
+
+
+def line_anchors(samples: DataFrame) -> DataFrame:
+    """block, line, x, y from samples (block, x, y, size), a block at a time."""
+
+    def fold(rows: list[dict]) -> list[dict]:
+        return [{"line": i, "x": x, "y": y} for i, (x, y) in enumerate(anchors([(r["x"], r["y"], r["size"]) for r in rows]))]
+
+    return fold_groups(samples, "block", ["x", "y", "size"], ["y"], fold, "line int, x double, y double")
+
+
+def wrap_widths(text: str, widths: list[float], size: float, em: float) -> list[str]:
+    """Lines for the widths given (the last holds for all that follow) at ``em`` times ``size`` for a character; a longer word is cut."""
+    lines: list[str] = []
+    room = lambda: max(1, int(widths[min(len(lines), len(widths) - 1)] / (size * em) + 1e-9))
+    for hard in text.split("\n"):
+        now = ""
+        for word in hard.split():
+            if len(f"{now} {word}".strip()) <= room():
+                now = f"{now} {word}".strip()
+                continue
+            if now:
+                lines.append(now)
+            while len(word) > room():
+                n = room()
+                lines.append(word[:n])
+                word = word[n:]
+            now = word
+        if now:
+            lines.append(now)
+    return lines or [""]
+
+
+def fit(text: str, widths: list[float], size: float, em: float, lines: int) -> tuple[float, list[str]]:
+    """(size, lines): a text of one line shrinks to at least seven tenths before it is wrapped; one of more shrinks by tenths until it has no more lines than before, not below 4."""
+    if lines <= 1:
+        width = len(text) * em * size
+        at = size if width <= widths[0] * 1.05 or not width else max(size * widths[0] / width, size * 0.7, 4.0)
+        return (at, [text]) if len(text) * em * at <= widths[0] * 1.05 else (at, wrap_widths(text, widths, at, em))
+    got = wrap_widths(text, widths, size, em)
+    while len(got) > lines and size > 4:
+        size = max(4.0, size * 0.9)
+        got = wrap_widths(text, widths, size, em)
+    return size, got
+
+
+def fitted(em: float):
+    """``fit`` on columns: text, widths, size, lines."""
+
+    @F.pandas_udf("struct<size:double,lines:array<string>>")
+    def run(text: pd.Series, widths: pd.Series, size: pd.Series, lines: pd.Series) -> pd.DataFrame:
+        got = [fit(t, list(w), s, em, n) for t, w, s, n in zip(text, widths, size, lines)]
+        return pd.DataFrame({"size": [g[0] for g in got], "lines": [g[1] for g in got]})
+
+    return run

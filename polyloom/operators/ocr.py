@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyloom.plans.folds import fold_groups
+
 WORDS = "img long, ord int, text string, confidence double, l int, t int, r int, b int, first boolean, end_line boolean, end_para boolean"
 
 
@@ -87,11 +88,8 @@ def text_lines(words: DataFrame, least: int, join: str = " ", relax: bool = Fals
     """img, block, line, text, l, t, r, b: one image's words at a time."""
     kept = confidence_filter(words, least, relax)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = lines_of(pdf.sort_values("ord").to_dict("records"), join)
-        return pd.DataFrame(rows, columns=["block", "line", "text", "l", "t", "r", "b"]).assign(img=pdf["img"].iloc[0])[["img", "block", "line", "text", "l", "t", "r", "b"]]
-
-    return kept.groupBy("img").applyInPandas(fold, "img long, block int, line int, text string, l int, t int, r int, b int")
+    columns = [c.split()[0] for c in WORDS.split(", ")][1:]
+    return fold_groups(kept, "img", columns, ["ord"], lambda rows: lines_of(rows, join), "block int, line int, text string, l int, t int, r int, b int")
 
 
 def text_blocks(lines: DataFrame) -> DataFrame:

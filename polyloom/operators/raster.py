@@ -69,3 +69,21 @@ def overlay_colors(mode: Column, background: Column) -> Column:
     black, white = F.lit(0xFF000000).cast("long"), F.lit(0xFFFFFFFF).cast("long")
     pair = lambda bg, fg: F.struct(bg.alias("background"), fg.alias("foreground"))
     return F.when(mode == "black_on_white", pair(white, black)).when(mode == "white_on_black", pair(black, white)).otherwise(pair(background, F.when(luminance(background) > 0.5, black).otherwise(white)))
+
+
+def real_background(color: Column) -> Column:
+    """The colour, if it is one: not unset, white or transparent."""
+    return F.when(~color.isin(0, 1, 0xFFFFFFFF) & (channel(color, 3) != 0), color)
+
+
+def block_colors(mode: Column, sampled: Column, style_bg: Column, style_fg: Column) -> Column:
+    """struct(background, foreground) of a block. sampled: such a struct from a screenshot, or null.
+
+    Without a screenshot a fixed mode decides. Else the style's background, then the sampled one, then a contrast to the style's foreground; the
+    style's foreground goes before the sampled one.
+    """
+    black, white = F.lit(0xFF000000).cast("long"), F.lit(0xFFFFFFFF).cast("long")
+    pair = lambda bg, fg: F.struct(bg.alias("background"), fg.alias("foreground"))
+    bg, fg = real_background(style_bg), F.when(channel(style_fg, 3) != 0, style_fg)
+    fixed = F.when(sampled.isNull() & (mode == "white_on_black"), pair(black, white)).when(sampled.isNull() & (mode == "black_on_white"), pair(white, black))
+    return fixed.when(bg.isNotNull(), pair(bg, F.coalesce(fg, sampled["foreground"], black))).when(sampled.isNotNull(), pair(sampled["background"], F.coalesce(fg, sampled["foreground"]))).when(fg.isNotNull(), pair(F.when(luminance(fg) > 0.5, black).otherwise(white), fg)).otherwise(pair(white, black))

@@ -138,7 +138,19 @@ def translit_cyrl_grek(spark, sf_dir):
     return values_df(spark, "n int, script string, text string", [(i, *x) for i, x in enumerate(_TRANSLIT)]).select("n", transliterate(F.col("text"), F.col("script")).alias("latin"))
 
 
-QUERIES = {f.__name__: f for f in (html_scopes, html_scope_leaves, html_rebuild_identity, span_projection, span_merge, word_expand, layout_blocks, block_quantiles, math_runs_opaque, font_class, math_line_kinds, pdf_skip_rules, geometry_transform, rect_hits_nearest, link_prune, font_union, wrap_lines, translit_cyrl_grek)}
+def line_anchors(spark, sf_dir):
+    """Items of an order are signs of a block: three on a line, some of them raised."""
+    k = F.col("l_linenumber")
+    y = F.floor(k / 3) * 12 + F.when(F.col("l_partkey") % 5 == 0, 3).otherwise(0)
+    return layout.line_anchors(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block"), (F.col("l_suppkey") % 50).cast("double").alias("x"), y.cast("double").alias("y"), F.lit(10.0).alias("size")))
+
+
+def fit_lines(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", layout.fitted(0.5)("text", F.array(F.lit(300.0), F.lit(200.0)), F.lit(11.0), (F.col("item_id") % 4 + 1).cast("int")).alias("f"))
+    return b.select("item_id", F.round("f.size", 6).alias("size"), F.size("f.lines").alias("lines"), F.array_join("f.lines", "\n").alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (html_scopes, html_scope_leaves, html_rebuild_identity, span_projection, span_merge, word_expand, layout_blocks, block_quantiles, math_runs_opaque, font_class, math_line_kinds, pdf_skip_rules, geometry_transform, rect_hits_nearest, link_prune, font_union, wrap_lines, translit_cyrl_grek, line_anchors, fit_lines)}
 
 # ---- SQL ----
 

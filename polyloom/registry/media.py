@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from polyloom.functions import speech as s
 from polyloom.functions.text import split_sentences
-from polyloom.operators import audio, ocr, raster
+from polyloom.operators import audio, ocr, raster, voices
 from polyloom.registry.base import table, values_df, values_sql
 from polyloom.registry.text import _SENT, _TRIM, _WSET
 
@@ -144,7 +144,35 @@ def overlay_colors(spark, sf_dir):
     return values_df(spark, "n int, mode string, color long", _COLORS).select("n", raster.overlay_colors(F.col("mode"), F.col("color")).alias("c")).select("n", "c.background", "c.foreground")
 
 
-QUERIES = {f.__name__: f for f in (speech_paragraphs, speech_segments, speech_chunks, best_pause_split, pcm_convert, pcm_silence, silence_runs, silence_metrics, pause_outliers, ocr_confidence_filter, ocr_lines, ocr_blocks, luminance, otsu_threshold, corner_paint, bilinear_fill, overlay_colors)}
+_BLOCKS = [(i, m, s, b, f) for i, (m, s, b, f) in enumerate((m, s, b, f) for m in ("auto", "black_on_white", "white_on_black") for s in (None, 4286611584) for b in (None, 1, 16777215, 4278190335) for f in (None, 255, 4294901760))]
+_BLOCK_COLS = "n int, mode string, seen long, bg long, fg long"
+
+
+def block_colors(spark, sf_dir):
+    """All combinations of mode, screenshot and style."""
+    seen = F.when(F.col("seen").isNotNull(), F.struct(F.col("seen").alias("background"), (F.col("seen") + 1).alias("foreground")))
+    return values_df(spark, _BLOCK_COLS, _BLOCKS).select("n", raster.block_colors(F.col("mode"), seen, F.col("bg"), F.col("fg")).alias("c")).select("n", "c.background", "c.foreground")
+
+
+_VOICES = [("k-en", "kokoro", "en-US", i, n, i * 10) for i, n in enumerate(("jf_aya", "bf_emma", "af_new-star", "am_adam"))] + [("k-xx", "kokoro", "xx", 0, "jf_aya", 1), ("k-xx", "kokoro", "xx", 1, "zf_mei", 2), ("p-de", "piper", "de_DE", 0, "thorsten_low", 5)]
+_VOICE_COLS = "model string, engine string, language string, ord int, name string, speaker_id int"
+_ASKED = [(1, "k-en", "bf_emma", None), (2, "k-en", "nobody", 30), (3, "k-en", "", None), (4, "p-de", None, 7), (5, "p-de", None, None), (6, "p-de", "thorsten_low", 9), (7, "lost", None, 3)]
+_ASKED_COLS = "id int, model string, wanted string, wanted_id int"
+
+
+def visible_voices(spark, sf_dir):
+    return voices.visible(values_df(spark, _VOICE_COLS, _VOICES))
+
+
+def default_voice(spark, sf_dir):
+    return voices.default(values_df(spark, _VOICE_COLS, _VOICES))
+
+
+def requested_voice(spark, sf_dir):
+    return voices.requested(values_df(spark, _ASKED_COLS, _ASKED), values_df(spark, _VOICE_COLS, _VOICES))
+
+
+QUERIES = {f.__name__: f for f in (speech_paragraphs, speech_segments, speech_chunks, best_pause_split, pcm_convert, pcm_silence, silence_runs, silence_metrics, pause_outliers, ocr_confidence_filter, ocr_lines, ocr_blocks, luminance, otsu_threshold, corner_paint, bilinear_fill, overlay_colors, block_colors, visible_voices, default_voice, requested_voice)}
 
 # ---- SQL ----
 
@@ -171,7 +199,14 @@ _FLAGS = {
     "lead": "leading_sec > greatest(0.5, m_leading_sec * 1.8, m_leading_sec + 0.2)", "trail": "trailing_sec > greatest(0.5, m_trailing_sec * 1.8, m_trailing_sec + 0.2)", "low_voice": "voiced_ratio < least(m_voiced_ratio * 0.88, m_voiced_ratio - 0.08)",
 }
 
+_RANKED = f"with v as ({values_sql(_VOICE_COLS, _VOICES)}), r as (select *, case when engine = 'kokoro' then nullif(instr(case split_part(language, '-', 1) " + " ".join(f"when '{k}' then '{p}'" for k, p in voices.PREFIXES.items()) + " else '' end, name[1]), 0) end as rank from v), df as (select model, arg_min({'n': name, 's': speaker_id}, {'a': coalesce(rank, 99), 'b': ord}) as d from r where engine = 'kokoro' group by model)"
+_LUM = f"0.299::double * ({_CH('fg', 2)} / 255.0::double) + 0.587::double * ({_CH('fg', 1)} / 255.0::double) + 0.114::double * ({_CH('fg', 0)} / 255.0::double)"
+
 ORACLES = {
+    "block_colors": f"with b as ({values_sql(_BLOCK_COLS, _BLOCKS)}), c as (select n, mode, seen, case when bg not in (0, 1, 4294967295) and bg >> 24 <> 0 then bg end as bg, case when fg >> 24 <> 0 then fg end as fg from b), k as (select *, case when seen is null and mode <> 'auto' then mode when bg is not null then 'bg' when seen is not null then 'seen' when fg is not null then 'fg' else 'black_on_white' end as via from c) select n, case via when 'white_on_black' then 4278190080 when 'black_on_white' then 4294967295 when 'bg' then bg when 'seen' then seen else case when {_LUM} > 0.5 then 4278190080 else 4294967295 end end as background, case via when 'white_on_black' then 4294967295 when 'black_on_white' then 4278190080 when 'bg' then coalesce(fg, seen + 1, 4278190080) when 'seen' then coalesce(fg, seen + 1) else fg end as foreground from k",
+    "visible_voices": f"{_RANKED} select model, name, speaker_id, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(name, '^[a-z]{{2}}_', ''), '[_-]'), lambda p: p <> ''), lambda p: upper(p[1]) || p[2:]), ' ') as display_name from r qualify rank is not null or count(rank) over (partition by model) = 0",
+    "default_voice": f"{_RANKED} select model, d.n as name, d.s as speaker_id from df",
+    "requested_voice": f"{_RANKED}, a as ({values_sql(_ASKED_COLS, _ASKED)}), m as (select id, wanted_id, d, min(v.name) filter (wanted <> '' and v.name = wanted) as an, min(v.speaker_id) filter (wanted <> '' and v.name = wanted) as ai, min(v.name) filter (v.speaker_id = wanted_id) as bn, min(v.speaker_id) filter (v.speaker_id = wanted_id) as bi from a left join v on v.model = a.model left join df on df.model = a.model group by all) select id, coalesce(an, bn, d.n, 'speaker_' || wanted_id) as name, coalesce(ai, bi, d.s, wanted_id) as speaker_id from m",
     "speech_paragraphs": f"select conv_id, turn, unnest(range(0, len(ps)))::int as p, unnest(ps) as paragraph from (select conv_id, turn, {_PARA} as ps from conversations)",
     "speech_segments": f"with a as (select conv_id, turn, {_PARA} as ps from conversations), b as (select conv_id, turn, len(ps) as np, unnest(range(0, len(ps)))::int as p, unnest(ps) as paragraph from a), c as (select *, {_SEG('paragraph')} as ss from b), d as (select conv_id, turn, np, p, len(ss) as ns, unnest(range(0, len(ss)))::int as k, unnest(ss) as segment from c) select conv_id, turn, p, k, segment, case when k + 1 < ns then 'sentence' when p + 1 < np then 'paragraph' else 'none' end as boundary from d",
     "best_pause_split": f"with q as (select doc_id, unnest(range(0, len(x)))::int as k, unnest(x) as t from (select doc_id, {_SENT('text')} as x from documents)), c as (select doc_id, k, t, length(t) as n, unnest(range(0, length(t))) as i from q where length(t) between 24 and 400), p as (select doc_id, k, n, i, {_TRIM('t[1:i + 1]')} as a, {_TRIM('t[i + 2:]')} as b from c where contains('{s.CLAUSE}', t[i + 1])), g as (select * from p where length(a) >= greatest(12, n // 4) and length(b) >= greatest(12, n // 4)) select doc_id, k, arg_min(a, key) as first, arg_min(b, key) as second from (select *, {{'x': abs(length(a) - length(b)), 'y': abs(n / 2 - i), 'z': i}} as key from g) group by doc_id, k",
