@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SKIPPED = frozenset("script style noscript template iframe textarea svg canvas object embed code pre kbd samp var math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SKIPPED = frozenset("canvas code embed iframe kbd math noscript object pre samp script style svg template textarea var".split())
+INLINE = frozenset("a b i q s u br em rp rt tt bdi bdo big del dfn img ins kbd sub sup var wbr abbr cite code data font mark math nobr ruby samp span time label small output strike strong acronym".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FRAME = frozenset("html head body".split())
 

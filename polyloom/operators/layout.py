@@ -134,7 +134,8 @@ def layout_blocks(fragments: DataFrame) -> DataFrame:
 
 # ---- lines and fonts ----
 
-MATH, PLAIN = ("CMMI", "CMSY", "CMEX", "CMBSY", "CMMIB", "MSAM", "MSBM", "EUFM", "EUSM"), ("CMR", "CMTI", "CMSS", "CMTT", "CMBX", "CMSL", "CMU", "CMCSC", "CMITT", "CMFF", "CMFI", "CMVTT", "CMTEX")
+MATH = ("CMBSY", "CMEX", "CMMI", "CMSY", "EUFM", "EUSM", "MSAM", "MSBM")
+PLAIN = ("CMBX", "CMCSC", "CMFF", "CMFI", "CMITT", "CMR", "CMSL", "CMSS", "CMTEX", "CMTI", "CMTT", "CMU", "CMVTT")
 
 
 def font_stem(name: Column) -> Column:
@@ -151,7 +152,7 @@ def font_class(name: Column) -> Column:
 def font_style(name: Column) -> Column:
     """struct(bold, italic, monospace) from a font's name."""
     low = F.lower(F.regexp_replace(name, r"^[^+]{6}\+", ""))
-    words = {"bold": "bold|heavy|black", "italic": "italic|oblique", "monospace": "courier|mono|consolas|menlo|monaco|inconsolata|sourcecodepro|firacode|hack|fixedsys|lucidaconsole"}
+    words = {"bold": "bold|heavy|black", "italic": "italic|oblique", "monospace": "consolas|lucidaconsole|courier|firacode|fixedsys|hack|inconsolata|menlo|monaco|mono|sourcecodepro"}
     return F.struct(*[low.rlike(p).alias(k) for k, p in words.items()])
 
 

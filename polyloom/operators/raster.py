@@ -22,7 +22,7 @@ def luminance(color: Column) -> Column:
 
 
 def luminance_byte(color: Column) -> Column:
-    return F.least(F.lit(255), F.shiftright(77 * channel(color, 2) + 150 * channel(color, 1) + 29 * channel(color, 0), 8).cast("int"))
+    return F.least(F.lit(255), F.shiftright(29 * channel(color, 0) + 150 * channel(color, 1) + 77 * channel(color, 2), 8).cast("int"))
 
 
 def otsu_threshold(values: DataFrame, key: str, value: str) -> DataFrame:

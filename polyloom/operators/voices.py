@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from polyloom.functions.text import language_family, voice_display_name
 
 #: First letters of the voices of a language family, in order of preference.
-PREFIXES = {"en": "ab", "es": "e", "fr": "f", "hi": "h", "it": "i", "ja": "j", "ko": "j", "pt": "p", "zh": "z"}
+PREFIXES = {"zh": "z", "pt": "p", "ko": "j", "ja": "j", "it": "i", "hi": "h", "fr": "f", "es": "e", "en": "ab"}
 MANY = "kokoro"
 
 

@@ -172,7 +172,7 @@ ORACLES = {
     "word_expand": f"with r as (select item_id, text, unnest(range(0, length(text), 7)) as pos from benchmark where text <> ''), s as (select *, pos + length(regexp_extract(text[pos + 1:pos + 3], '^[^\\p{{L}}\\p{{N}}]*')) as f from r) select item_id, pos::int as \"at\", case when f < pos + 3 then (f - case when f = pos then length(regexp_extract(text[1:pos], '{_W}*$')) else 0 end)::int end as start, case when f < pos + 3 then (f + length(regexp_extract(text[f + 1:], '^{_W}*')))::int end as \"end\" from s",
     "block_quantiles": "with l as (select l_orderkey, list_sort(list(l_quantity)) as v from lineitem group by 1), m as (select l_orderkey, arg_min(q, {'a': -n, 'b': q}) as mode from (select l_orderkey, l_quantity as q, count(*) as n from lineitem group by all) group by 1) select l_orderkey, v[len(v) // 4 + 1] as lower, v[len(v) // 2 + 1] as upper_median, v[len(v) * 3 // 4 + 1] as p75, mode from l join m using (l_orderkey)",
     "math_runs_opaque": "with k as (select user_id, event_id, case when event_type = 'error' then 'Strong' when event_type in ('view', 'click') then 'Weak' else 'Prose' end as kind from events), r as (select *, sum((kind = 'Prose')::int) over (partition by user_id order by event_id) as run from k) select user_id, event_id, kind, kind <> 'Prose' and bool_or(kind = 'Strong') over (partition by user_id, run) as opaque from r",
-    "font_class": f"with f as ({values_sql('n int, name string', _FONTS)}), g as (select n, {_STEM} as stem, lower(regexp_replace(name, '^[^+]{{6}}\\+', '')) as low from f) select n, case when regexp_matches(stem, '^({'|'.join(layout.MATH)})') then 'math' when regexp_matches(stem, '^({'|'.join(layout.PLAIN)})') then 'text' else 'other' end as kind, regexp_matches(low, 'bold|heavy|black') as bold, regexp_matches(low, 'italic|oblique') as italic, regexp_matches(low, 'courier|mono|consolas|menlo|monaco|inconsolata|sourcecodepro|firacode|hack|fixedsys|lucidaconsole') as monospace from g",
+    "font_class": f"with f as ({values_sql('n int, name string', _FONTS)}), g as (select n, {_STEM} as stem, lower(regexp_replace(name, '^[^+]{{6}}\\+', '')) as low from f) select n, case when regexp_matches(stem, '^({'|'.join(layout.MATH)})') then 'math' when regexp_matches(stem, '^({'|'.join(layout.PLAIN)})') then 'text' else 'other' end as kind, regexp_matches(low, 'bold|heavy|black') as bold, regexp_matches(low, 'italic|oblique') as italic, regexp_matches(low, 'consolas|lucidaconsole|courier|firacode|fixedsys|hack|inconsolata|menlo|monaco|mono|sourcecodepro') as monospace from g",
     "math_line_kinds": f"with c as ({values_sql('block int, line int, c string, font string', _CHARS)}), g as (select block, line, count(*) filter (regexp_matches(stem, '^({'|'.join(layout.MATH)})')) as m, count(*) filter (regexp_matches(stem, '^({'|'.join(layout.PLAIN)})')) as t, bool_or(c = '�' and stem like 'CMEX%') as x from (select *, upper(regexp_replace(font, '^.*\\+', '')) as stem from c where c <> ' ') group by all) select block, line, case when x or (m > 0 and m + t >= 3 and 2 * m >= m + t) then 'Strong' when m > 0 and t = 0 then 'Weak' else 'Prose' end as kind from g",
     "pdf_skip_rules": f"with l as (select unnest(string_split(text, chr(10))) as line from documents union all {values_sql('line string', [(x,) for x in _LINES])}), n as (select line, length(line) as n, greatest(0, 300 - length(line) * 3) as l, 300 + length(line) * 3 + length(line) % 5 * 10 as r, len(regexp_extract_all(line, '[^\\s\\p{{Z}}]+')) as words, len(regexp_extract_all(line, '[=<>∑Σσ≤≥→←↔]')) as symbols, len(regexp_extract_all(line, '\\p{{L}}')) as letters, len(regexp_extract_all(line, '_')) as under, len(regexp_extract_all(line, '\\p{{L}}{{4,}}')) as long from l), k as (select n, words = 0 or (not (contains(line, ';') or regexp_matches(line, '[a-z]\\.[a-z]') or long >= 2) and ((abs((l + r) / 2 - 300) < 30 and ((l + greatest(600 - r, 0)) / 2 <= 0 or abs(l - greatest(600 - r, 0)) < (l + greatest(600 - r, 0)) / 2 * 0.3) and symbols > 0 and words <= 8) or (symbols >= 2 and letters < 24) or (under >= 2 and words <= 8))) as skip from n) select skip, count(*) as n, sum(n)::bigint as chars from k group by skip",
     "geometry_transform": "with p as (select p_partkey, p_size::double as x, (p_partkey % 97)::double as y, p_partkey % 4 * 90 as turn from part) select p_partkey, -2 * y + 72 as u, 4 * x + 240 as v, x, y, case turn when 90 then y when 180 then 612 - x when 270 then 792 - y else x end as shown_x, case turn when 90 then x when 180 then y when 270 then 612 - x else 792 - y end as shown_y from p",

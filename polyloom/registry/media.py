@@ -216,8 +216,8 @@ ORACLES = {
     "silence_metrics": f"{_METRICS} select file, " + ", ".join(f"round({c}, 6) as {c}" for c in ("duration_sec", "silence_sec", "leading_sec", "trailing_sec", "internal_sec", "voiced_ratio")) + ", internal_count from z",
     "pause_outliers": f"{_METRICS}, l as (select *, file % 7 as language from z), g as (select language, {', '.join(f'median({c}) as m_{c}' for c in ('duration_sec', 'internal_sec', 'internal_count', 'leading_sec', 'trailing_sec', 'voiced_ratio'))} from l group by language having count(*) >= 2), o as (select file, language, concat_ws(',', " + ", ".join(f"case when {c} then '{k}' end" for k, c in _FLAGS.items()) + ") as flags from l join g using (language)) select * from o where flags <> ''",
     "ocr_confidence_filter": f"{_WORDS}, k as (select *, confidence >= 40 and not (length(text) = 1 and confidence < 45) as keep from w), u as (select *, sum(keep::int) over (partition by img order by ord) as upto, sum(keep::int) over (partition by img order by ord) - keep::int as before from k), f as (select img, ord, text, keep, bool_or(first) over (partition by img, before) as first, bool_or(end_line) over (partition by img, upto) as end_line, bool_or(end_para) over (partition by img, upto) as end_para from u) select img, ord::int as ord, text, first, end_line, end_para from f where keep",
-    "luminance": f"{_PIX} select img, count(*) as pixels, sum(least(255, (77 * r + 150 * g + 29 * b) >> 8))::bigint as brightness, count(*) filter (0.299::double * (r / 255.0::double) + 0.587::double * (g / 255.0::double) + 0.114::double * (b / 255.0::double) > 0.5) as bright, max(r) as most_red from p group by img",
-    "otsu_threshold": f"{_PIX}, h as (select img, least(255, (77 * r + 150 * g + 29 * b) >> 8) as t, count(*) as n from p group by all), c as (select img, t, sum(n) over u as w, sum(t * n) over u as s, sum(n) over a as total, sum(t * n) over a as tsum from h window u as (partition by img order by t), a as (partition by img)), v as (select img, t, w::double * (total - w) * (s / w - (tsum - s) / (total - w)) * (s / w - (tsum - s) / (total - w)) as spread from c where w < total) select i.img, coalesce((select arg_min(t, {{'a': -spread, 'b': t}}) from v where v.img = i.img), 127)::int as threshold from (select distinct img from p) i",
+    "luminance": f"{_PIX} select img, count(*) as pixels, sum(least(255, (29 * b + 150 * g + 77 * r) >> 8))::bigint as brightness, count(*) filter (0.299::double * (r / 255.0::double) + 0.587::double * (g / 255.0::double) + 0.114::double * (b / 255.0::double) > 0.5) as bright, max(r) as most_red from p group by img",
+    "otsu_threshold": f"{_PIX}, h as (select img, least(255, (29 * b + 150 * g + 77 * r) >> 8) as t, count(*) as n from p group by all), c as (select img, t, sum(n) over u as w, sum(t * n) over u as s, sum(n) over a as total, sum(t * n) over a as tsum from h window u as (partition by img order by t), a as (partition by img)), v as (select img, t, w::double * (total - w) * (s / w - (tsum - s) / (total - w)) * (s / w - (tsum - s) / (total - w)) as spread from c where w < total) select i.img, coalesce((select arg_min(t, {{'a': -spread, 'b': t}}) from v where v.img = i.img), 127)::int as threshold from (select distinct img from p) i",
     "corner_paint": f"{_PIX}, q as ({values_sql('rect_id int, img long, l int, t int, rr int, bb int', _RECTS)}), m as (select rect_id, {_ARGB('sum(r) // count(*)', 'sum(g) // count(*)', 'sum(b) // count(*)')} as color from q join p on p.img = q.img and ((y >= t and y < bb and (x between l - 4 and l - 1 or x between rr and rr + 3)) or (x >= l and x < rr and (y between t - 4 and t - 1 or y between bb and bb + 3))) group by rect_id) select rect_id, coalesce(color, 4294967295) as color from q left join m using (rect_id)",
     "bilinear_fill": f"with f as ({values_sql(_FILL_COLS, _FILLS)}), yy as (select *, unnest(range(t, b))::int as y from f where r > l and b > t), g as (select *, unnest(range(l, r))::int as x from yy) select rect_id, x, y, {_ARGB(_mix(2), _mix(1), _mix(0))} as color from g",
     "overlay_colors": f"with c as ({values_sql('n int, mode string, color long', _COLORS)}), l as (select *, 0.299::double * ({_CH('color', 2)} / 255.0::double) + 0.587::double * ({_CH('color', 1)} / 255.0::double) + 0.114::double * ({_CH('color', 0)} / 255.0::double) as lum from c) select n, case mode when 'black_on_white' then 4294967295 when 'white_on_black' then 4278190080 else color end as background, case mode when 'black_on_white' then 4278190080 when 'white_on_black' then 4294967295 else case when lum > 0.5 then 4278190080 else 4294967295 end end as foreground from l",
