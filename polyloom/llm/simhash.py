@@ -19,10 +19,12 @@ from polyloom.plans.shared import materialize
 BITS, LANES = 256, 4
 #: Two documents are near-duplicates if at most so many of their bits differ: a cosine of 0.71 between their sets of word pairs.
 MAX_DISTANCE = 64
-#: At least so many tables; more where there are so many signatures that a pair at ``SURE_DISTANCE`` would share a bucket in none of them more often than once in ten.
+#: At least so many tables; more where there are so many signatures that a pair at ``MAX_DISTANCE`` would be compared in none of them more often than once in ten.
 TABLES, SURE_DISTANCE = 32, 40
-#: A table's bucket that holds more is split by further sampled bits, until none does.
-BUCKET = 320
+#: A table's key has as many bits as leave about ``WHOLE`` times so many signatures in a bucket; those are compared each with each.
+BUCKET, WHOLE = 320, 8
+#: More tables than these have no place in a key; from there on buckets grow instead.
+MOST_TABLES = 1023
 SEED = 20250101
 
 
@@ -68,10 +70,27 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, some
 
 
+def _together(bits: int) -> float:
+    """The chance that a pair at ``MAX_DISTANCE`` agrees on so many sampled bits."""
+    return math.prod((BITS - MAX_DISTANCE - i) / (BITS - i) for i in range(bits)) if bits <= BITS - MAX_DISTANCE else 0.0
+
+
+def _needed(bits: int) -> int:
+    """So many tables of ``bits`` bits miss a pair at ``MAX_DISTANCE`` once in ten."""
+    return math.ceil(math.log(0.1) / math.log1p(-_together(bits))) if bits else 1
+
+
+def bits_for(n: int, bucket: int = BUCKET) -> int:
+    """How many bits the key of a table has: no more than the tables there may be can make up for."""
+    bits = max(0, (n // (bucket * WHOLE)).bit_length())
+    while _needed(bits) > MOST_TABLES:
+        bits -= 1
+    return bits
+
+
 def tables_for(n: int, bucket: int = BUCKET) -> int:
-    """How many tables ``n`` signatures take. A bucket ends up with about log2(n / bucket) sampled bits, and one for uneven splits."""
-    together = (1 - SURE_DISTANCE / BITS) ** (math.log2(max(1, n / bucket)) + 1)
-    return max(TABLES, min(1023, math.ceil(math.log(0.1) / math.log(1 - together))))
+    """How many tables ``n`` signatures take."""
+    return max(TABLES, _needed(bits_for(n, bucket)))
 
 
 def sampled(table: int) -> np.ndarray:
@@ -104,40 +123,55 @@ def subbuckets(lanes: np.ndarray, coordinates: np.ndarray, used: int, most: int)
     return done
 
 
+def _near_blocks(lanes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j at a distance of at most ``most``, some at a time."""
+    for i in range(0, len(lanes), 128):
+        for j in range(i, len(lanes), 4096):
+            left, right = lanes[i : i + 128], lanes[j : j + 4096]
+            distance = np.zeros((len(left), len(right)), np.uint16)
+            for k in range(lanes.shape[1]):
+                distance += np.bitwise_count(left[:, None, k] ^ right[None, :, k])
+            a, b = np.nonzero(distance <= most)
+            a, b = a + i, b + j
+            later = b > a
+            yield a[later], b[later]
+
+
 def near_pairs(lanes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs i < j at a distance of at most ``most``."""
-    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(0, len(lanes), 128):
-        distance = np.zeros((min(128, len(lanes) - i), len(lanes) - i), np.uint16)
-        for k in range(lanes.shape[1]):
-            distance += np.bitwise_count(lanes[i : i + 128, None, k] ^ lanes[None, i:, k])
-        a, b = np.nonzero(distance <= most)
-        later = b > a
-        found_i.append(a[later] + i)
-        found_j.append(b[later] + i)
-    return np.concatenate(found_i), np.concatenate(found_j)
-
-
-def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The pairs that connect what the given ones connect, as rows of (lesser id, greater id): at most len(ids) - 1."""
-    root = np.arange(len(ids))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *_near_blocks(lanes, most)]
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
 
+def forest(ids: np.ndarray, lanes: np.ndarray, most: int) -> np.ndarray:
+    """Near pairs that connect what all near pairs connect, as rows of (lesser id, greater id): at most len(ids) - 1."""
+    root = np.arange(len(ids))  # of each row, the one that stands for all it is connected with
     kept = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[max(ra, rb)] = min(ra, rb)
-            kept.append((a, b))
+    for i, j in _near_blocks(lanes, most):
+        for s in range(0, len(i), 4096):
+            a, b = i[s : s + 4096], j[s : s + 4096]
+            fresh = root[a] != root[b]
+            if not fresh.any():
+                continue
+            a, b = a[fresh], b[fresh]
+            up: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    up[x] = x = up.get(y, y)
+                return x
+
+            for x, y, rx, ry in zip(a.tolist(), b.tolist(), root[a].tolist(), root[b].tolist()):
+                rx, ry = find(rx), find(ry)
+                if rx != ry:
+                    up[max(rx, ry)] = min(rx, ry)
+                    kept.append((x, y))
+            now = np.arange(len(ids))
+            now[list(up)] = [find(x) for x in list(up)]
+            root = now[root]
     if not kept:
         return np.zeros((0, 2), np.int64)
-    e = ids[np.array(kept)]
-    return np.sort(e, axis=1)
+    return np.sort(ids[np.array(kept)], axis=1)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -177,10 +211,10 @@ def signature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def candidate_edges(distinct: DataFrame, n: int, most: int = MAX_DISTANCE, tables: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """Pairs (a, b) of signatures (id, l0..l3; all different) at a distance of at most ``most``: of each bucket, as many as connect what its near pairs connect.
 
-    A table's key has as many bits as leave about ``bucket`` * 8 of ``n`` signatures in one; what still
-    exceeds ``bucket`` is split by further bits, where it is read. So no signature is dropped, and none is compared with all.
+    A table's key has as many bits as leave about ``bucket`` * ``WHOLE`` of ``n`` signatures in one, and those are compared
+    each with each; what exceeds twice that is split by further bits, where it is read. So no signature is dropped, and none is compared with all.
     """
-    bits = max(0, (n // (bucket * 8)).bit_length())
+    bits = bits_for(n, bucket)
     tables = tables or tables_for(n, bucket)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +231,9 @@ def candidate_edges(distinct: DataFrame, n: int, most: int = MAX_DISTANCE, table
         size = 0
         for key, ids, lanes in _runs(batches):
             order = sampled(key & 1023)
-            for rows in subbuckets(lanes, order, bits, bucket):
+            for rows in subbuckets(lanes, order, bits, 2 * bucket * WHOLE):
                 if len(rows) > 1:
-                    edges = forest(ids[rows], *near_pairs(lanes[rows], most))
+                    edges = forest(ids[rows], lanes[rows], most)
                     waiting.append(edges)
                     size += len(edges)
             if size > 50_000:

@@ -281,6 +281,44 @@ def test_more_signatures_take_more_tables():
         assert 1 - (1 - together) ** t >= 0.9
 
 
+def flipped(r, rows, bits):
+    """Copies of signatures with so many bits turned."""
+    turned = np.zeros((len(rows), 256), np.uint8)
+    for row in turned:
+        row[r.permutation(256)[:bits]] = 1
+    return rows ^ np.packbits(turned, axis=1).view(np.uint64)
+
+
+def test_pairs_at_the_limit_meet_in_the_tables_of_large_inputs():
+    """Of pairs at 64 bits, nine in ten share the key of a table, with the keys and tables of 30 GB (some 15 million signatures), and more."""
+    r = np.random.default_rng(6)
+    a = r.integers(0, 2**63, (2000, 4), dtype=np.uint64)
+    b = flipped(r, a, simhash.MAX_DISTANCE)
+    for n in (256_000, 10**6, 4 * 10**6, 15 * 10**6, 10**11):
+        bits = simhash.bits_for(n)
+        met = np.zeros(len(a), bool)
+        for t in range(simhash.tables_for(n)):
+            met |= simhash.bits_at(a, simhash.sampled(t)[:bits]) == simhash.bits_at(b, simhash.sampled(t)[:bits])
+        assert met.mean() >= 0.88
+
+
+def test_forest_connects_what_near_pairs_connect():
+    r = np.random.default_rng(7)
+    base = r.integers(0, 2**63, (300, 4), dtype=np.uint64)
+    lanes = np.concatenate([base, flipped(r, base[:100], 60), flipped(r, np.repeat(base[:1], 300, 0), 30)])
+    ids = np.arange(len(lanes)) * 3 + 7
+    kept = simhash.forest(ids, lanes, 64)
+
+    def labels(pairs):
+        label = np.arange(len(lanes))
+        for x, y in pairs:
+            label[label == max(label[x], label[y])] = min(label[x], label[y])
+        return label.tolist()
+
+    all_pairs = list(zip(*simhash.near_pairs(lanes, 64)))
+    assert len(all_pairs) > 40_000 and labels((kept - 7) // 3) == labels(all_pairs) and len(kept) == len(lanes) - len(set(labels(all_pairs)))
+
+
 def test_oversized_buckets_are_split_not_dropped():
     r = np.random.default_rng(2)
     lanes = r.integers(0, 2**63, (1000, 4), dtype=np.uint64)
