@@ -23,6 +23,8 @@ MAX_DISTANCE = 64
 TABLES, SURE_DISTANCE = 32, 40
 #: A table's key has as many bits as leave about ``WHOLE`` times so many signatures in a bucket; those are compared each with each.
 BUCKET, WHOLE = 320, 8
+#: The chance that a pair at ``MAX_DISTANCE`` in one bucket is compared, if the bucket is too large to be compared whole.
+MEET = 0.95
 #: More tables than these have no place in a key; from there on buckets grow instead.
 MOST_TABLES = 1023
 SEED = 20250101
@@ -76,8 +78,8 @@ def _together(bits: int) -> float:
 
 
 def _needed(bits: int) -> int:
-    """So many tables of ``bits`` bits miss a pair at ``MAX_DISTANCE`` once in ten."""
-    return math.ceil(math.log(0.1) / math.log1p(-_together(bits))) if bits else 1
+    """So many tables of ``bits`` bits miss a pair at ``MAX_DISTANCE`` once in ten, if each compares ``MEET`` of those that share a bucket."""
+    return math.ceil(math.log(0.1) / math.log1p(-MEET * _together(bits)))
 
 
 def bits_for(n: int, bucket: int = BUCKET) -> int:
@@ -123,6 +125,25 @@ def subbuckets(lanes: np.ndarray, coordinates: np.ndarray, used: int, most: int)
     return done
 
 
+def meetings(lanes: np.ndarray, seed: int, whole: int) -> Iterator[np.ndarray]:
+    """Sets of a bucket's rows to be compared each with each, in which a pair at ``MAX_DISTANCE`` meets with a chance of at least ``MEET``, however dense the bucket is.
+
+    A bucket above ``whole`` is split in several independent ways: to parts of ``whole``, but by no more bits than a depth which all share,
+    and as often as makes up for that depth. The depth is that of the fewest comparisons; at 0 the bucket is compared whole.
+    """
+    order = lambda way: np.random.default_rng((SEED, seed, way)).permutation(BITS)
+    least, depth, ways = float(len(lanes)) ** 2, 0, 1
+    for d in range(1, 41) if len(lanes) > whole else ():
+        often = math.ceil(math.log1p(-MEET) / math.log1p(-_together(d)))
+        sizes = np.array([len(p) for p in subbuckets(lanes, order(0)[:d], 0, whole)])
+        if (cost := often * float((sizes.astype(float) ** 2).sum())) < least:
+            least, depth, ways = cost, d, often
+        if sizes.max() <= whole:
+            break
+    for way in range(ways):
+        yield from subbuckets(lanes, order(way)[:depth], 0, whole)
+
+
 def _near_blocks(lanes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs i < j at a distance of at most ``most``, some at a time."""
     for i in range(0, len(lanes), 128):
@@ -212,7 +233,7 @@ def candidate_edges(distinct: DataFrame, n: int, most: int = MAX_DISTANCE, table
     """Pairs (a, b) of signatures (id, l0..l3; all different) at a distance of at most ``most``: of each bucket, as many as connect what its near pairs connect.
 
     A table's key has as many bits as leave about ``bucket`` * ``WHOLE`` of ``n`` signatures in one, and those are compared
-    each with each; what exceeds twice that is split by further bits, where it is read. So no signature is dropped, and none is compared with all.
+    each with each; what exceeds twice that is split where it is read, in several ways. So no signature is dropped, and how dense they lie doesn't matter.
     """
     bits = bits_for(n, bucket)
     tables = tables or tables_for(n, bucket)
@@ -230,8 +251,7 @@ def candidate_edges(distinct: DataFrame, n: int, most: int = MAX_DISTANCE, table
         waiting: list[np.ndarray] = []
         size = 0
         for key, ids, lanes in _runs(batches):
-            order = sampled(key & 1023)
-            for rows in subbuckets(lanes, order, bits, 2 * bucket * WHOLE):
+            for rows in meetings(lanes, key, 2 * bucket * WHOLE):
                 if len(rows) > 1:
                     edges = forest(ids[rows], lanes[rows], most)
                     waiting.append(edges)

@@ -302,6 +302,25 @@ def test_pairs_at_the_limit_meet_in_the_tables_of_large_inputs():
         assert met.mean() >= 0.88
 
 
+@pytest.mark.parametrize("turned", (0.194, 0.5))
+def test_pairs_inside_a_large_bucket_meet(turned):
+    """A bucket of 20,000, around one centre at about 80 bits from each other or all over: planted pairs in it are compared."""
+    r = np.random.default_rng(8)
+    lanes = np.packbits(r.random((20_000, 256)) < turned, axis=1).view(np.uint64)
+    for distance in (40, 64):
+        planted = np.concatenate([lanes, flipped(r, lanes[:400], distance)])
+        met, compared = np.zeros(400, bool), 0
+        for rows in simhash.meetings(planted, 3, 300):
+            inside = np.zeros(len(planted), bool)
+            inside[rows] = True
+            met |= inside[:400] & inside[20_000:]
+            compared += len(rows) ** 2
+        assert met.mean() >= simhash.MEET - 0.03 and compared <= len(planted) ** 2
+        if turned < 0.5:  # one split to that size, as it was before, loses them
+            once = [{int(x) for x in p} for p in simhash.subbuckets(planted, simhash.sampled(0), 0, 300)]
+            assert sum(any(k in p and 20_000 + k in p for p in once) for k in range(400)) < 200
+
+
 def test_forest_connects_what_near_pairs_connect():
     r = np.random.default_rng(7)
     base = r.integers(0, 2**63, (300, 4), dtype=np.uint64)
