@@ -166,7 +166,7 @@ def identity_alignments(spark, sf_dir):
 
 
 def xml_escape(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.substring("html", 1, 100000).alias("html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
     e = t.xml_escape(F.col("html"))
     return pages.select("page_id", F.md5(e).alias("escaped"), F.md5(t.xml_escape_attribute(F.col("html"))).alias("attribute"), (t.xml_unescape(e) == F.col("html")).alias("round_trip"), F.md5(t.xml_unescape(F.col("html"))).alias("unescaped"))
 
