@@ -64,7 +64,7 @@ class Rule(NamedTuple):
 
 #: ``secret`` names the part that is reported; keywords of a rule with ``fold`` match in any case.
 RULES = (
-    Rule("cloud_access_key", ("AKIA", "ASIA", "ABIA", "ACCA"), r"(?<![A-Za-z0-9])(?P<secret>A[KSBC]IA(?P<body>[A-Z0-9]{16}))(?![A-Za-z0-9])", account_in_key),
+    Rule("cloud_access_key", ("AKIA", "ASIA", "ABIA", "ACCA"), r"(?<![A-Za-z0-9])(?P<secret>(?:AKIA|ASIA|ABIA|ACCA)(?P<body>[A-Z0-9]{16}))(?![A-Za-z0-9])", account_in_key),
     Rule("forge_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"(?<![A-Za-z0-9])(?P<secret>gh[pousr]_(?P<body>[A-Za-z0-9]{36}))(?![A-Za-z0-9])", crc_token),
     Rule("registry_token", ("npm_",), r"(?<![A-Za-z0-9])(?P<secret>npm_(?P<body>[A-Za-z0-9]{36}))(?![A-Za-z0-9])", crc_token),
     Rule("chat_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"(?<![A-Za-z0-9])(?P<secret>xox[baprs]-[0-9A-Za-z-]{10,})"),

@@ -132,6 +132,12 @@ def test_secret_scan_equals_the_plain_one(texts):
         assert sorted((x["rule"], x["start"], x["end"]) for x in secrets.scan(t)) == slow_scan(t)
 
 
+@pytest.mark.parametrize("prefix", ("AKIA", "ASIA", "ABIA", "ACCA"))
+def test_each_prefix_of_access_keys_is_found(prefix):
+    text = f"id {prefix}IOSFODNN7EXAMPLE."
+    assert [(x["rule"], x["start"], x["end"]) for x in secrets.scan(text)] == [("cloud_access_key", 3, 23)] == slow_scan(text)
+
+
 def test_checksums():
     good, bad = secrets.scan(forge_token())[0], secrets.scan(forge_token()[:-1] + "x")[0]
     assert (good["checksum"], bad["checksum"]) == ("ok", "failed")
