@@ -33,7 +33,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row for each revisit: record_id, url_key, response_id, status, headers, payload_digest, payload_bytes.
 
     ``records``: record_id, url, ts, kind ('response' or 'revisit'), headers (map, lower-case names),
-    payload_digest, payload_bytes; others are ignored. Only responses with status 200 belong in it.
+    payload_digest, payload_bytes and, if known, http_status (a number); others are ignored. With http_status, only
+    responses of 200 answer a revisit: parts (206), redirects, errors and null don't. Without it, the caller has to leave them out.
 
     status: ``resolved``; ``mismatch`` if the latest earlier response has another entity tag, or, where
     either side has no tag, another last-modified; ``unverified`` if no validator is on both sides;
@@ -43,9 +44,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     Repeated rows resolve alike. Null headers count as none. Payloads don't travel: only their digest does.
     """
     none = F.expr("cast(map() as map<string,string>)")
-    base = records.select("record_id", "url", "ts", "kind", F.coalesce("headers", none).alias("headers"), "payload_digest", "payload_bytes").withColumn("url_key", canonical_url(F.col("url")))
+    full = F.col("http_status") == 200 if "http_status" in records.columns else F.lit(True)
+    base = records.select("record_id", "url", "ts", "kind", F.coalesce("headers", none).alias("headers"), "payload_digest", "payload_bytes", full.alias("full")).withColumn("url_key", canonical_url(F.col("url")))
     whole = F.col("url").isNotNull() & F.col("ts").isNotNull()
-    answer = F.when(F.col("kind") == "response", F.struct("record_id", "headers", "payload_digest", "payload_bytes"))
+    answer = F.when((F.col("kind") == "response") & F.col("full"), F.struct("record_id", "headers", "payload_digest", "payload_bytes"))
     # at one time revisits come first: a response is earlier only if strictly so
     order = Window.partitionBy("url_key").orderBy("ts", F.col("kind") == "response", F.col("record_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = base.where(whole).withColumn("r", F.last(answer, ignorenulls=True).over(order)).where("kind = 'revisit'")
@@ -77,7 +79,7 @@ def crawl_records(pages: DataFrame) -> DataFrame:
     again_ts = F.when(id_ % 11 == 0, ts - 5000000).otherwise(ts + 86400 * (1 + id_ % 5))
     again_tag = F.when(id_ % 7 == 0, F.lit('"changed"')).when(id_ % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("W/"), tag))
     second = p.where(id_ % 3 != 0).select((id_ * 2 + 1).alias("record_id"), again_url.alias("url"), again_ts.alias("ts"), F.lit("revisit").alias("kind"), F.map_filter(name("content-length", F.lit("0"), "etag", again_tag, "last-modified", date, "cache-control", F.lit("max-age=90"), "age", (id_ % 50).cast("string")), lambda _, v: v.isNotNull()).alias("headers"), F.lit(None).cast("string").alias("payload_digest"), F.lit(None).cast("int").alias("payload_bytes"))
-    return first.unionByName(second)
+    return first.withColumn("http_status", F.lit(200)).unionByName(second.withColumn("http_status", F.lit(304)))
 
 
 def revisits_sql() -> str:

@@ -149,3 +149,17 @@ def test_revisits(spark):
         (13, "unverified", 3, 'etag: "3"\nx: y', "d3"), (14, "unplaced", None, None, None), (15, "unplaced", None, None, None), (16, "no_response", None, None, None),
     ]
     assert resolve_revisits(records.limit(0)).count() == 0
+
+
+def test_only_full_responses_answer_revisits(spark):
+    schema = "record_id long, url string, ts long, kind string, headers map<string,string>, payload_digest string, payload_bytes int, http_status int"
+    tag = {"etag": '"1"'}
+    rows = [
+        (1, "http://a.org/x", 10, "response", tag, "d1", 5, 200),
+        *[(k, "http://a.org/x", 10 + k, "response", tag, f"d{k}", 5, status) for k, status in ((2, 206), (3, 404), (4, 301), (5, None))],
+        (10, "http://a.org/x", 30, "revisit", tag, None, None, 304),
+        (6, "http://a.org/y", 10, "response", tag, "d6", 5, 206),
+        (11, "http://a.org/y", 30, "revisit", tag, None, None, 304),
+    ]
+    got = sorted((r["record_id"], r["status"], r["response_id"], r["payload_digest"]) for r in resolve_revisits(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(10, "resolved", 1, "d1"), (11, "no_response", None, None)]
