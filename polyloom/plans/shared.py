@@ -13,10 +13,15 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where the session names none (tests), a fresh temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where a session on one machine names none (tests), a fresh temporary one.
+
+    A cluster's executors don't share a folder of the driver's machine: there, an unset ``spark.checkpoint.dir`` is an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="polyloom-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)
