@@ -33,17 +33,22 @@ def segments(paragraph: Column) -> Column:
 def best_pause_split(text: Column) -> Column:
     """struct(first, second) at the clause mark that leaves the sides most alike; null if none leaves both long enough."""
     n = F.char_length(text)
-    first = lambda i: unicode_trim(F.substring(text, F.lit(1), i + 1))
-    second = lambda i: unicode_trim(F.substring(text, i + 2, F.lit(1_000_000_000)))
-    # a mark's place is the end of the piece before it
-    pieces = F.split(text, f"[{CLAUSE}]")
-    ends = F.aggregate(pieces, F.array(F.lit(-1)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.char_length(p) + 1))
-    marks = bound(ends, lambda e: F.slice(e, F.lit(2), F.size(e) - 2))
-    sides = F.transform(marks, lambda i: F.struct(i.alias("i"), first(i).alias("first"), second(i).alias("second")))
+    lead, trail = (n - F.char_length(F.regexp_replace(text, p, "")) for p in (rf"\A{WS}+", rf"{WS}+\z"))
     least = F.greatest(F.lit(LEAST_SIDE), F.floor(n / 4))
-    good = F.filter(sides, lambda s: (F.char_length(s["first"]) >= least) & (F.char_length(s["second"]) >= least))
-    ranked = F.transform(good, lambda s: F.struct(F.abs(F.char_length(s["first"]) - F.char_length(s["second"])).alias("balance"), F.abs(n / 2 - s["i"]).alias("off"), s["i"].alias("i"), s["first"].alias("first"), s["second"].alias("second")))
-    return bound(F.array_min(ranked), lambda best: F.when(best.isNotNull(), F.struct(best["first"].alias("first"), best["second"].alias("second"))))
+
+    def chosen(pieces: Column) -> Column:
+        # a mark's place is the end of the piece before it; lengths alone decide, so that only the chosen sides are cut out
+        ends = F.aggregate(pieces, F.array(F.lit(-1)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.char_length(p) + 1))
+        blanks = F.transform(pieces, lambda p: F.char_length(p) - F.char_length(F.regexp_replace(p, rf"\A{WS}+", "")))
+        marks = F.zip_with(F.slice(ends, F.lit(2), F.size(pieces) - 1), F.slice(blanks, F.lit(2), F.size(pieces) - 1), lambda i, skip: F.struct(i.alias("i"), (i + 1 - lead).alias("first"), (n - trail - i - 1 - skip).alias("second")))
+        good = F.filter(marks, lambda m: (m["first"] >= least) & (m["second"] >= least))
+        return F.array_min(F.transform(good, lambda m: F.struct(F.abs(m["first"] - m["second"]).alias("balance"), F.abs(n / 2 - m["i"]).alias("off"), m["i"].alias("i"))))
+
+    def cut(best: Column) -> Column:
+        first = unicode_trim(F.substring(text, F.lit(1), best["i"] + 1))
+        return F.when(best.isNotNull(), F.struct(first.alias("first"), unicode_trim(F.substring(text, best["i"] + 2, n)).alias("second")))
+
+    return bound(bound(F.split(text, f"[{CLAUSE}]"), chosen), cut)
 
 
 def pcm(sample: Column) -> Column:
@@ -81,9 +86,9 @@ def _py_segments(paragraph: str) -> list[str]:
 
 def _py_split(text: str) -> tuple[str, str] | None:
     least, best = max(LEAST_SIDE, len(text) // 4), None
-    for i, c in enumerate(text):
+    for i in (m.start() for m in re.finditer(f"[{CLAUSE}]", text)):
         a, b = text[: i + 1].strip(), text[i + 1 :].strip()
-        if c in CLAUSE and min(len(a), len(b)) >= least:
+        if min(len(a), len(b)) >= least:
             key = (abs(len(a) - len(b)), abs(len(text) / 2 - i), i)
             best = min(best or (key, a, b), (key, a, b))
     return best and best[1:]

@@ -110,7 +110,7 @@ def language_family(code: Column) -> Column:
 def voice_display_name(name: Column) -> Column:
     """``af_new-star`` is ``New Star``: the two-letter prefix goes, parts begin with a capital, the rest is unchanged."""
     parts = F.filter(F.split(F.regexp_replace(name, "^[a-z]{2}_", ""), "[_-]"), lambda p: p != "")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000))), " ")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.char_length(p)))), " ")
 
 
 def word_expand(text: Column, start: Column, end: Column, extra: str = "") -> Column:
@@ -123,5 +123,5 @@ def word_expand(text: Column, start: Column, end: Column, extra: str = "") -> Co
     skip = F.char_length(F.regexp_extract(inside, rf"\A[^\p{{L}}\p{{N}}{extra}]*", 0))
     at = start + skip
     before = F.when(skip == 0, F.char_length(F.regexp_extract(F.substring(text, F.lit(1), start), rf"{word}*\z", 0))).otherwise(0)
-    after = F.char_length(F.regexp_extract(F.substring(text, at + 1, F.lit(1_000_000)), rf"\A{word}*", 0))
+    after = F.char_length(F.regexp_extract(F.substring(text, at + 1, F.char_length(text)), rf"\A{word}*", 0))
     return F.when((start < end) & (at < end), F.struct((at - before).alias("start"), (at + after).alias("end")))

@@ -29,8 +29,8 @@ def _spans(spark, sf_dir):
     """Spans and alignments by arithmetic: every document has two styles, and an alignment for each ten characters, moved and stretched."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n")).where("n_chars > 30")
     k = F.col("k")
-    s = d.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.least(F.col("n") / 25, F.lit(40)).cast("int"))).alias("k")).select("doc_id", (k * 25).cast("long").alias("start"), (k * 25 + 5 + k % 4 * 10).cast("long").alias("end"), F.when(k % 3 == 0, "bold").otherwise("italic").alias("style"))
-    a = d.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.least(F.col("n") / 10, F.lit(100)).cast("int"))).alias("k")).select("doc_id", (k * 10).cast("long").alias("sb"), (k * 10 + 7).cast("long").alias("se"), (k * 12).cast("long").alias("tb"), (k * 12 + 12 - k % 2 * 3).cast("long").alias("te"))
+    s = d.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 25).cast("int"))).alias("k")).select("doc_id", (k * 25).cast("long").alias("start"), (k * 25 + 5 + k % 4 * 10).cast("long").alias("end"), F.when(k % 3 == 0, "bold").otherwise("italic").alias("style"))
+    a = d.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 10).cast("int"))).alias("k")).select("doc_id", (k * 10).cast("long").alias("sb"), (k * 10 + 7).cast("long").alias("se"), (k * 12).cast("long").alias("tb"), (k * 12 + 12 - k % 2 * 3).cast("long").alias("te"))
     return s, a
 
 
@@ -43,8 +43,8 @@ def span_merge(spark, sf_dir):
 
 
 def word_expand(spark, sf_dir):
-    """For each benchmark text, ranges of three characters from every seventh place on."""
-    r = table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", "text", F.explode(F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(7))).alias("at"))
+    """For each benchmark text, ranges of three characters from every place on."""
+    r = table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", "text", F.explode(F.sequence(F.lit(0), F.char_length("text") - 1)).alias("at"))
     return r.select("item_id", "at", t.word_expand(F.col("text"), F.col("at"), F.col("at") + 3).alias("w")).select("item_id", "at", F.col("w.start").alias("start"), F.col("w.end").alias("end"))
 
 
@@ -160,7 +160,7 @@ _X3 = f"regexp_replace(regexp_replace({_X2}, '</?(a|b|br)( [^>]*)?>', chr(2), 'g
 _STEP = lambda x: f"regexp_replace({x}, '([^\\s\\x01\\x02])\\x02+([^\\s\\x01\\x02])', '\\1 \\2', 'g')"
 _X4 = f"replace(replace(replace(replace(replace({_STEP(_STEP(_X3))}, chr(2), ''), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
 _SCOPES = f"select page_id, unnest(range(0, len(s)))::int as scope, unnest(s) as text from (select page_id, list_filter(string_split({_X4}, chr(1)), lambda x: {_TRIM('x')} <> '') as s from pages)"
-_SP = "with d as (select doc_id, n_chars::bigint as n from documents where n_chars > 30), s as (select doc_id, k * 25 as st, k * 25 + 5 + k % 4 * 10 as en, case when k % 3 = 0 then 'bold' else 'italic' end as style from (select doc_id, unnest(range(0, least(n // 25, 40) + 1)) as k from d)), a as (select doc_id, k * 10 as sb, k * 10 + 7 as se, k * 12 as tb, k * 12 + 12 - k % 2 * 3 as te from (select doc_id, unnest(range(0, least(n // 10, 100) + 1)) as k from d)), p as (select doc_id, tb as start, te as \"end\", arg_min(style, {'a': st, 'b': en, 'c': style}) as style from a join s using (doc_id) where (sb + se) // 2 >= st and (sb + se) // 2 < en group by doc_id, sb, se, tb, te)"
+_SP = "with d as (select doc_id, n_chars::bigint as n from documents where n_chars > 30), s as (select doc_id, k * 25 as st, k * 25 + 5 + k % 4 * 10 as en, case when k % 3 = 0 then 'bold' else 'italic' end as style from (select doc_id, unnest(range(0, n // 25 + 1)) as k from d)), a as (select doc_id, k * 10 as sb, k * 10 + 7 as se, k * 12 as tb, k * 12 + 12 - k % 2 * 3 as te from (select doc_id, unnest(range(0, n // 10 + 1)) as k from d)), p as (select doc_id, tb as start, te as \"end\", arg_min(style, {'a': st, 'b': en, 'c': style}) as style from a join s using (doc_id) where (sb + se) // 2 >= st and (sb + se) // 2 < en group by doc_id, sb, se, tb, te)"
 _STEM = "upper(regexp_replace(name, '^.*\\+', ''))"
 _W = "[\\p{L}\\p{N}]"
 
@@ -169,7 +169,7 @@ ORACLES = {
     "html_rebuild_identity": _SCOPES,
     "span_projection": f"{_SP} select doc_id, start, \"end\", style from p",
     "span_merge": f"{_SP}, o as (select *, coalesce((start > max(\"end\") over (partition by doc_id, style order by start, \"end\" rows between unbounded preceding and 1 preceding))::int, 1) as new from p), g as (select *, sum(new) over (partition by doc_id, style order by start, \"end\") as run from o) select doc_id, style, min(start) as start, max(\"end\") as \"end\" from g group by doc_id, style, run",
-    "word_expand": f"with r as (select item_id, text, unnest(range(0, length(text), 7)) as pos from benchmark where text <> ''), s as (select *, pos + length(regexp_extract(text[pos + 1:pos + 3], '^[^\\p{{L}}\\p{{N}}]*')) as f from r) select item_id, pos::int as \"at\", case when f < pos + 3 then (f - case when f = pos then length(regexp_extract(text[1:pos], '{_W}*$')) else 0 end)::int end as start, case when f < pos + 3 then (f + length(regexp_extract(text[f + 1:], '^{_W}*')))::int end as \"end\" from s",
+    "word_expand": f"with r as (select item_id, text, unnest(range(0, length(text))) as pos from benchmark where text <> ''), s as (select *, pos + length(regexp_extract(text[pos + 1:pos + 3], '^[^\\p{{L}}\\p{{N}}]*')) as f from r) select item_id, pos::int as \"at\", case when f < pos + 3 then (f - case when f = pos then length(regexp_extract(text[1:pos], '{_W}*$')) else 0 end)::int end as start, case when f < pos + 3 then (f + length(regexp_extract(text[f + 1:], '^{_W}*')))::int end as \"end\" from s",
     "block_quantiles": "with l as (select l_orderkey, list_sort(list(l_quantity)) as v from lineitem group by 1), m as (select l_orderkey, arg_min(q, {'a': -n, 'b': q}) as mode from (select l_orderkey, l_quantity as q, count(*) as n from lineitem group by all) group by 1) select l_orderkey, v[len(v) // 4 + 1] as lower, v[len(v) // 2 + 1] as upper_median, v[len(v) * 3 // 4 + 1] as p75, mode from l join m using (l_orderkey)",
     "math_runs_opaque": "with k as (select user_id, event_id, case when event_type = 'error' then 'Strong' when event_type in ('view', 'click') then 'Weak' else 'Prose' end as kind from events), r as (select *, sum((kind = 'Prose')::int) over (partition by user_id order by event_id) as run from k) select user_id, event_id, kind, kind <> 'Prose' and bool_or(kind = 'Strong') over (partition by user_id, run) as opaque from r",
     "font_class": f"with f as ({values_sql('n int, name string', _FONTS)}), g as (select n, {_STEM} as stem, lower(regexp_replace(name, '^[^+]{{6}}\\+', '')) as low from f) select n, case when regexp_matches(stem, '^({'|'.join(layout.MATH)})') then 'math' when regexp_matches(stem, '^({'|'.join(layout.PLAIN)})') then 'text' else 'other' end as kind, regexp_matches(low, 'bold|heavy|black') as bold, regexp_matches(low, 'italic|oblique') as italic, regexp_matches(low, 'consolas|lucidaconsole|courier|firacode|fixedsys|hack|inconsolata|menlo|monaco|mono|sourcecodepro') as monospace from g",

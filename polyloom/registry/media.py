@@ -41,7 +41,7 @@ def speech_chunks(spark, sf_dir):
 
 
 def best_pause_split(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_sentences(F.col("text"))).alias("k", "sentence")).where(F.char_length("sentence").between(24, 400))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_sentences(F.col("text"))).alias("k", "sentence")).where(F.char_length("sentence") >= 24)
     return rows.select("doc_id", "k", F.inline(F.array_compact(F.array(s.best_pause_split(F.col("sentence"))))))  # not a filter: that would split each twice
 
 
@@ -209,7 +209,7 @@ ORACLES = {
     "requested_voice": f"{_RANKED}, a as ({values_sql(_ASKED_COLS, _ASKED)}), m as (select id, wanted_id, d, min(v.name) filter (wanted <> '' and v.name = wanted) as an, min(v.speaker_id) filter (wanted <> '' and v.name = wanted) as ai, min(v.name) filter (v.speaker_id = wanted_id) as bn, min(v.speaker_id) filter (v.speaker_id = wanted_id) as bi from a left join v on v.model = a.model left join df on df.model = a.model group by all) select id, coalesce(an, bn, d.n, 'speaker_' || wanted_id) as name, coalesce(ai, bi, d.s, wanted_id) as speaker_id from m",
     "speech_paragraphs": f"select conv_id, turn, unnest(range(0, len(ps)))::int as p, unnest(ps) as paragraph from (select conv_id, turn, {_PARA} as ps from conversations)",
     "speech_segments": f"with a as (select conv_id, turn, {_PARA} as ps from conversations), b as (select conv_id, turn, len(ps) as np, unnest(range(0, len(ps)))::int as p, unnest(ps) as paragraph from a), c as (select *, {_SEG('paragraph')} as ss from b), d as (select conv_id, turn, np, p, len(ss) as ns, unnest(range(0, len(ss)))::int as k, unnest(ss) as segment from c) select conv_id, turn, p, k, segment, case when k + 1 < ns then 'sentence' when p + 1 < np then 'paragraph' else 'none' end as boundary from d",
-    "best_pause_split": f"with q as (select doc_id, unnest(range(0, len(x)))::int as k, unnest(x) as t from (select doc_id, {_SENT('text')} as x from documents)), c as (select doc_id, k, t, length(t) as n, unnest(range(0, length(t))) as i from q where length(t) between 24 and 400), p as (select doc_id, k, n, i, {_TRIM('t[1:i + 1]')} as a, {_TRIM('t[i + 2:]')} as b from c where contains('{s.CLAUSE}', t[i + 1])), g as (select * from p where length(a) >= greatest(12, n // 4) and length(b) >= greatest(12, n // 4)) select doc_id, k, arg_min(a, key) as first, arg_min(b, key) as second from (select *, {{'x': abs(length(a) - length(b)), 'y': abs(n / 2 - i), 'z': i}} as key from g) group by doc_id, k",
+    "best_pause_split": f"with q as (select doc_id, unnest(range(0, len(x)))::int as k, unnest(x) as t from (select doc_id, {_SENT('text')} as x from documents)), c as (select doc_id, k, t, length(t) as n, unnest(range(0, length(t))) as i from q where length(t) >= 24), p as (select doc_id, k, n, i, {_TRIM('t[1:i + 1]')} as a, {_TRIM('t[i + 2:]')} as b from c where contains('{s.CLAUSE}', t[i + 1])), g as (select * from p where length(a) >= greatest(12, n // 4) and length(b) >= greatest(12, n // 4)) select doc_id, k, arg_min(a, key) as first, arg_min(b, key) as second from (select *, {{'x': abs(length(a) - length(b)), 'y': abs(n / 2 - i), 'z': i}} as key from g) group by doc_id, k",
     "pcm_convert": "select event_id, round(least(greatest(value / 10 - 1, -1.0), 1.0) * 32767)::int as sample, round(least(greatest(1 - value / 8, -1.0), 1.0) * 32767)::int as mirrored from events",
     "pcm_silence": f"with v as ({values_sql('rate int, ms int', _RATES)}), n as (select *, greatest(1, rate::bigint * greatest(1, ms) // 1000) as samples from v) select rate, ms, samples, case when rate > 0 then samples * 1000 // rate else 0 end as duration_ms from n",
     "silence_runs": f"{_SAMPLES} select * from r",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polyloom.functions import detect as d
 from polyloom.functions import text as t
-from polyloom.operators import kernels, routing
+from polyloom.operators import dictionary, kernels, routing
 from polyloom.registry.base import table, values_df, values_sql
 
 AVAILABLE = ["de", "en", "es", "fr"]
@@ -152,12 +152,9 @@ def translate_text_lines(spark, sf_dir):
 def dictionary_lookup(spark, sf_dir):
     """Words of the conversations in a dictionary of the documents' words: exact, else in lower case if that differs."""
     tokens = F.filter(F.split("text", r"[^\p{L}]+"), lambda w: w != "")
-    entries = table(spark, sf_dir, "documents").select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    entries = table(spark, sf_dir, "documents").select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     asked = table(spark, sf_dir, "conversations").select(F.explode(tokens).alias("query")).distinct()
-    exact = entries.select(F.col("word").alias("w1"), F.col("n").alias("n1"))
-    lower = entries.select(F.col("word").alias("w2"), F.col("n").alias("n2"))
-    met = asked.join(exact, F.col("query") == F.col("w1"), "left").join(lower, (F.lower("query") == F.col("w2")) & (F.lower("query") != F.col("query")), "left")
-    return met.select("query", F.coalesce("w1", "w2").alias("entry"), F.coalesce("n1", "n2").alias("n")).where("entry is not null")
+    return dictionary.lookup(asked, entries)
 
 
 def identity_alignments(spark, sf_dir):
@@ -223,7 +220,7 @@ select source, case when g > 0 then null when s > 0 and m = 0 then 'ALREADY_TARG
 c as (select *, {_CLASS('text')} as class, {_robust_sql(AVAILABLE)} as lang from ({_counts_sql('u', 'ord')}))
 select ord, case when class = 'passthrough' then 'passthrough' else 'batch' end as state, case when class = 'translatable' then lang end as language, case when class = 'passthrough' then text else {_LEX('text', 'lang')} end as translated from c where class = 'passthrough' or (class = 'translatable' and lang <> 'en')""",
     "translate_text_lines": f"select conv_id, turn, array_to_string(list_transform(string_split({_TRIM('text')}, chr(10)), lambda x: case when {_TRIM('x')} = '' or regexp_full_match(x, '[+-]?[0-9.]+') then x else {_LEX('x', chr(39) + 'fr' + chr(39))} end), chr(10)) as translated from conversations",
-    "dictionary_lookup": f"with e as (select word, count(*) as n from (select unnest({_TOKENS}) as word from documents) group by word having count(*) >= 3), q as (select distinct unnest({_TOKENS}) as query from conversations) select query, coalesce(a.word, b.word) as entry, coalesce(a.n, b.n) as n from q left join e a on a.word = query left join e b on b.word = lower(query) and lower(query) <> query where coalesce(a.word, b.word) is not null",
+    "dictionary_lookup": f"with e as (select word, count(*) as n from (select unnest({_TOKENS}) as word from documents) group by word), q as (select distinct unnest({_TOKENS}) as query from conversations) select query, coalesce(a.word, b.word) as entry, coalesce(a.n, b.n) as n from q left join e a on a.word = query left join e b on b.word = lower(query) and lower(query) <> query where coalesce(a.word, b.word) is not null",
     "identity_alignments": "select item_id, unnest(range(0, length(text)))::int as src_begin, unnest(range(1, length(text) + 1))::int as src_end, unnest(range(0, length(text)))::int as tgt_begin, unnest(range(1, length(text) + 1))::int as tgt_end from benchmark where text <> ''",
     "xml_escape": f"select page_id, md5({_ESC.format(c='html')}) as escaped, md5(replace({_ESC.format(c='html')}, '\"', '&quot;')) as attribute, true as round_trip, md5({_UNESC.format(c='html')}) as unescaped from pages",
     "sanitize_name": "select p_partkey, regexp_replace(regexp_replace('/' || p_name || ' #' || p_brand || '?', '[^\\p{L}\\p{N}_.-]+', '_', 'g'), '^_+|_+$', '', 'g') as file_name from part",
