@@ -34,21 +34,22 @@ def best_pause_split(text: Column) -> Column:
     """struct(first, second) at the clause mark that leaves the sides most alike; null if none leaves both long enough."""
     n = F.char_length(text)
     lead, trail = (n - F.char_length(F.regexp_replace(text, p, "")) for p in (rf"\A{WS}+", rf"{WS}+\z"))
-    least = F.greatest(F.lit(LEAST_SIDE), F.floor(n / 4))
+    given = F.struct(F.split(text, f"[{CLAUSE}]").alias("pieces"), n.alias("n"), lead.alias("lead"), trail.alias("trail"), F.greatest(F.lit(LEAST_SIDE), F.floor(n / 4)).alias("least"))
 
-    def chosen(pieces: Column) -> Column:
+    def chosen(x: Column) -> Column:
         # a mark's place is the end of the piece before it; lengths alone decide, so that only the chosen sides are cut out
+        pieces = x["pieces"]
         ends = F.aggregate(pieces, F.array(F.lit(-1)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.char_length(p) + 1))
         blanks = F.transform(pieces, lambda p: F.char_length(p) - F.char_length(F.regexp_replace(p, rf"\A{WS}+", "")))
-        marks = F.zip_with(F.slice(ends, F.lit(2), F.size(pieces) - 1), F.slice(blanks, F.lit(2), F.size(pieces) - 1), lambda i, skip: F.struct(i.alias("i"), (i + 1 - lead).alias("first"), (n - trail - i - 1 - skip).alias("second")))
-        good = F.filter(marks, lambda m: (m["first"] >= least) & (m["second"] >= least))
-        return F.array_min(F.transform(good, lambda m: F.struct(F.abs(m["first"] - m["second"]).alias("balance"), F.abs(n / 2 - m["i"]).alias("off"), m["i"].alias("i"))))
+        marks = F.zip_with(F.slice(ends, F.lit(2), F.size(pieces) - 1), F.slice(blanks, F.lit(2), F.size(pieces) - 1), lambda i, skip: F.struct(i.alias("i"), (i + 1 - x["lead"]).alias("first"), (x["n"] - x["trail"] - i - 1 - skip).alias("second")))
+        good = F.filter(marks, lambda m: (m["first"] >= x["least"]) & (m["second"] >= x["least"]))
+        return F.array_min(F.transform(good, lambda m: F.struct(F.abs(m["first"] - m["second"]).alias("balance"), F.abs(x["n"] / 2 - m["i"]).alias("off"), m["i"].alias("i"))))
 
     def cut(best: Column) -> Column:
         first = unicode_trim(F.substring(text, F.lit(1), best["i"] + 1))
         return F.when(best.isNotNull(), F.struct(first.alias("first"), unicode_trim(F.substring(text, best["i"] + 2, n)).alias("second")))
 
-    return bound(bound(F.split(text, f"[{CLAUSE}]"), chosen), cut)
+    return bound(bound(given, chosen), cut)
 
 
 def pcm(sample: Column) -> Column:
