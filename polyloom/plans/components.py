@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyloom.plans.shared import materialize
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """a, b, m: the least b of each a. Aggregated before it is shuffled; the join back is one that can be split where a node has a great many neighbours."""
+    m = edges.groupBy(F.col("a").alias("__a")).agg(F.min("b").alias("m"))
+    return edges.join(m, F.col("a") == F.col("__a")).select("a", "b", "m")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Each node's greater neighbours are tied to the least node it sees."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    least = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-    return both.withColumn("m", least).where("b > a").select(F.col("m").alias("a"), "b").distinct()
+    return _least(both).where("b > a").select(F.least("m", "a").alias("a"), "b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node's lesser neighbours, and the node, are tied to the least of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = F.min("b").over(Window.partitionBy("a"))
-    tied = down.withColumn("m", least)
+    tied = _least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     return tied.where("b <> m").select(F.col("m").alias("a"), "b").union(tied.select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
 
 
