@@ -50,6 +50,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Repeated rows are members like any other. Other columns, whatever their names, are ignored.
     Empty input: empty result.
     """
-    single, copies = equal_groups(docs, _digests()("text"), _contents()("text"), id_col, text_col)
-    single = single.select("doc_id", "digest", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"))
-    return single.unionByName(copies).select("doc_id", F.lower(F.hex("digest")).alias("fingerprint"), "group_id", "group_size")
+    found = equal_groups(docs, lambda t: _digests()(t), lambda t: _contents()(t), id_col, text_col)
+    return found.select("doc_id", F.lower(F.hex("digest")).alias("fingerprint"), "group_id", "group_size")

@@ -1,16 +1,20 @@
 """Groups of rows with equal content: equal digests first, equal bytes after that.
 
-Two passes, so that only what may be a copy is shuffled with its content. The first shuffles
-digests alone, the second reads the rows whose digest occurs twice, found by a Bloom prefilter.
+Two scans. The first keeps digests alone and counts them; the second reads what may be a copy, found by a Bloom
+prefilter in the JVM, and compares bytes. Both aggregate before they shuffle, so that a page with a million copies
+travels once from each task, and the rows of such a page meet their group's totals without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyloom.plans.bloom import bloom, might_contain
 from polyloom.plans.shared import materialize
+from polyloom.plans.skew import join_totals
 
 
 def row_ids(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -18,24 +22,43 @@ def row_ids(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
-def equal_groups(rows: DataFrame, digest: Column, content: Column, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(single, copies), together one row for each row of ``rows``.
+def raw_hash() -> Column:
+    """What tells rows of a repeated digest from others in the JVM, before anything is computed from their texts."""
+    return F.xxhash64("text")
+
+
+def totals_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, group_size, group_id (the least doc_id) of each key that occurs again."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("group_id")).where("group_size > 1")
+
+
+def suspects(full: DataFrame, digests: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``full`` whose digest occurs again, and a few that the filter can't clear."""
+    n = digests.count()
+    again = join_totals(digests.select("raw", *keys), totals.select(*keys, "group_size"), keys, "group_size", n).where("group_size is not null").select("raw").distinct()
+    return full.where(might_contain(bloom(materialize(again, "suspects"), "raw"), raw_hash()))
+
 
-    single: doc_id and digest of the rows whose digest occurs once (null for a null text, which equals nothing).
-    copies: doc_id, digest, group_id (the least doc_id), group_size for each row whose digest occurs
-    again; rows are grouped by equal ``content``, so group_size is 1 where digests met by accident.
+def equal_groups(rows: DataFrame, digest: Callable[[Column], Column], content: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest, group_id (the least doc_id of the group), group_size: one row for each row of ``rows``.
 
-    ``digest`` and ``content`` are expressions over ``text``.
+    Groups have equal digests and equal ``content``, both functions of a text: bytes are compared inside each bucket of two and
+    more, by an aggregation on digest and bytes. Rows of a bucket in which bytes differ, an accident that a wide digest
+    makes unheard of, are then grouped by their bytes. A null text equals nothing: null digest, a group of its own.
     """
     base = row_ids(rows, id_col, text_col)
     full = base.where(F.col("text").isNotNull())
-    digests = full.select("doc_id", digest.alias("digest")).withColumn("n_same", F.count(F.lit(1)).over(Window.partitionBy("digest")))
-    digests = materialize(digests, "digests")
-    void = base.where(F.col("text").isNull()).select("doc_id", F.lit(None).cast(digests.schema["digest"].dataType).alias("digest"))
-    single = digests.where("n_same = 1").select("doc_id", "digest").unionByName(void)
-    may = bloom(digests.where("n_same > 1"), "doc_id")
-    again = full.where(might_contain(may, F.col("doc_id"))).select("doc_id", digest.alias("digest"), content.alias("content"))
-    # a false positive of the filter is alone with its digest; one shuffle by digest serves both windows
-    again = again.withColumn("n_same", F.count(F.lit(1)).over(Window.partitionBy("digest"))).where("n_same > 1")
-    same = Window.partitionBy("digest", "content")
-    return single, again.select("doc_id", "digest", F.min("doc_id").over(same).alias("group_id"), F.count(F.lit(1)).over(same).alias("group_size"))
+    digests = materialize(full.select("doc_id", digest(F.col("text")).alias("digest"), raw_hash().alias("raw")), "digests")
+    totals = materialize(totals_of(digests, ["digest"]), "totals")
+    again = suspects(full, digests, totals, ["digest"]).select("doc_id", digest(F.col("text")).alias("digest"), content(F.col("text")).alias("content"))
+    different = again.select("digest", "content").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
+    different = materialize(different.select("digest"), "different")
+    void = base.where(F.col("text").isNull()).select("doc_id", F.lit(None).cast(digests.schema["digest"].dataType).alias("digest"), F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"))
+    met = join_totals(digests.select("doc_id", "digest"), totals, ["digest"], "group_size", digests.count())
+    met = met.select("doc_id", "digest", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
+    if different.isEmpty():
+        return met.unionByName(void)
+    apart = again.join(different, "digest", "left_semi")
+    own = apart.groupBy(F.col("digest").alias("d"), F.col("content").alias("c")).agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("group_id"))
+    apart = apart.join(own, (F.col("digest") == F.col("d")) & (F.col("content") == F.col("c"))).select("doc_id", "digest", "group_id", "group_size")
+    return met.join(different, "digest", "left_anti").unionByName(apart).unionByName(void)

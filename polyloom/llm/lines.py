@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyloom.functions.text import bound
 from polyloom.plans.bloom import bloom, might_contain
 from polyloom.plans.shared import materialize
 
@@ -78,7 +79,8 @@ def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     may = bloom(drops.select(F.xxhash64("doc", "content").alias("k")), "k")
     suspect = F.coalesce(might_contain(may, F.xxhash64(id_, F.xxhash64(text))), F.lit(False)) & text.isNotNull()
     met = whole.where(suspect).withColumn("own", F.xxhash64(text)).join(drops, id_.eqNullSafe(F.col("doc")) & (F.col("own") == F.col("content")), "inner" if changed_only else "left")
-    left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("drop", i))
+    # set difference and look-up, both linear in the lines; the text is split once
+    left = bound(F.split(text, "\n"), lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("drop")), lambda i: F.get(ls, i)))
     rest = F.array_join(left, "\n")
     if changed_only:
         return met.select(id_.alias("doc_id"), F.size("drop").alias("removed"), F.size(left).alias("kept"), rest.alias("text"))

@@ -13,12 +13,12 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyloom.llm.groups import row_ids
-from polyloom.plans.bloom import bloom, might_contain
+from polyloom.llm.groups import raw_hash, row_ids, suspects, totals_of
 from polyloom.plans.shared import materialize
+from polyloom.plans.skew import join_totals
 
 PRIMES = np.array([2147483647, 2147483629, 2147483587, 2147483579], np.uint64)
 POINTS = np.array([1103515245, 1566083941, 742938285, 1812433253], np.uint64)
@@ -121,34 +121,41 @@ def _combined(parts: Column) -> Column:
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that have copies: doc_id, group_id (the least doc_id of the group), group_size, is_first.
 
-    Copies have the same bytes. Only rows whose fingerprint and length occur again are read a second time; their
-    chunks are then compared position by position with those of one row of the bucket, and rows that differ
-    anywhere are compared among themselves in another round. No comparison holds more than a chunk of each row.
+    Copies have the same bytes. Only rows whose fingerprint and length occur again are read a second time; their chunks stream
+    through an aggregation by fingerprint, length and position, which compares them with each other and leaves one of equal
+    ones before anything is shuffled. A bucket with one chunk at each position is a group. In a bucket with more, an accident that
+    fingerprints of 124 bits make unheard of, rows are compared position by position with one row, those that differ
+    anywhere among themselves in another round. No comparison holds more than a chunk of each row.
     Null text: no copy of anything. Empty texts are copies of each other. A null doc_id is kept and is
     never the group's least unless all are null. Rows repeated with the same id are copies of each other,
     is_first is true for each row that has the least id. Other columns are ignored. Empty input: empty result.
     """
     base = row_ids(docs, id_col, text_col).where(F.col("text").isNotNull())
+    key = ["f", "n"]
     n, parts = F.octet_length("text").alias("n"), _hash_chunks()(chunks(F.col("text"))).alias("parts")
-    hashed = base.select("doc_id", n, parts).select("doc_id", "n", _combined(F.col("parts")).alias("f"))
-    hashed = materialize(hashed.withColumn("n_same", F.count(F.lit(1)).over(Window.partitionBy("f", "n"))).where("n_same > 1"), "polyhash")
-    may = bloom(hashed, "doc_id")
-    again = base.where(might_contain(may, F.col("doc_id"))).select("doc_id", F.monotonically_increasing_id().alias("row"), n, parts, chunks(F.col("text")).alias("c"))
-    again = again.select("doc_id", "row", "n", _combined(F.col("parts")).alias("f"), F.posexplode("c").alias("pos", "chunk"))
-    found, todo = [], again
-    while True:
-        verdict = materialize(_compared(todo), "compared")
-        same = Window.partitionBy("f", "n")
-        found.append(verdict.where("same").select("doc_id", F.min("doc_id").over(same).alias("group_id"), F.count(F.lit(1)).over(same).alias("group_size")).where("group_size > 1"))
-        rest = verdict.where("not same").select("row")
-        if rest.isEmpty():
-            break
-        todo = again.join(rest, "row", "left_semi")
-    return functools.reduce(DataFrame.unionByName, found).withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("group_id")))
+    hashed = base.select("doc_id", raw_hash().alias("raw"), n, parts).select("doc_id", "raw", "n", _combined(F.col("parts")).alias("f"))
+    hashed = materialize(hashed, "polyhash")
+    totals = materialize(totals_of(hashed, key), "totals")
+    again = suspects(base, hashed, totals, key).select("doc_id", n, parts, chunks(F.col("text")).alias("c"))
+    again = again.select("doc_id", "n", _combined(F.col("parts")).alias("f"), "c")
+    places = again.select(*key, F.posexplode("c").alias("pos", "chunk")).distinct().groupBy(*key, "pos").agg(F.count(F.lit(1)).alias("chunks"))
+    different = materialize(places.where("chunks > 1").select(*key).distinct(), "different")
+    met = join_totals(hashed.select("doc_id", *key), totals, key, "group_size", hashed.count()).where("group_size is not null")
+    found = [met.select("doc_id", *key, "group_id", "group_size")]
+    if not different.isEmpty():
+        found[0] = found[0].join(different, key, "left_anti")
+        # written, so that the rows' numbers stay what they are whatever is computed again
+        todo = materialize(again.join(different, key, "left_semi").withColumn("row", F.monotonically_increasing_id()), "collided").select("doc_id", "row", *key, F.posexplode("c").alias("pos", "chunk"))
+        while not todo.isEmpty():
+            verdict = materialize(_compared(todo), "compared")
+            own = totals_of(verdict.where("same"), key)
+            found.append(verdict.where("same").select("doc_id", *key).join(own, key).select("doc_id", *key, "group_id", "group_size"))
+            todo = todo.join(verdict.where("not same").select("row"), "row", "left_semi")
+    return functools.reduce(DataFrame.unionByName, found).select("doc_id", "group_id", "group_size", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("is_first"))
 
 
 def _compared(todo: DataFrame) -> DataFrame:
     """doc_id, row, n, f, same: whether each of the row's chunks equals that of the first row of its bucket. Rows alone in a bucket go."""
-    place = Window.partitionBy("f", "n", "pos")
-    met = todo.select("*", F.min_by("chunk", "row").over(place).alias("first"), F.count(F.lit(1)).over(place).alias("rows")).where("rows > 1")
+    firsts = todo.groupBy("f", "n", "pos").agg(F.min_by("chunk", "row").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    met = todo.join(firsts, ["f", "n", "pos"])
     return met.groupBy("f", "n", "row").agg(F.any_value("doc_id").alias("doc_id"), F.bool_and(F.col("chunk") == F.col("first")).alias("same"))

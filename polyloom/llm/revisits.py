@@ -66,7 +66,8 @@ def crawl_records(pages: DataFrame) -> DataFrame:
     """An archive's records, derived from the pages alone: each page is a response; two thirds are visited again.
 
     Some second visits carry another tag, some a date only, some come before the first, and their
-    URLs are spelled in other ways. ``pages``: page_id, url, html.
+    URLs are spelled in other ways. ``pages``: page_id, url, html. A null url or html gives records with a null url or digest;
+    repeated pages give their records again. Empty pages: no records.
     """
     p = pages.select("page_id", "url", F.md5("html").alias("digest"), F.octet_length("html").alias("size"))
     ts = F.lit(1700000000) + F.col("page_id") * 7919 % 1000000

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyloom.llm.groups import row_ids
@@ -20,7 +20,7 @@ BITS, LANES = 256, 4
 #: Two documents are near-duplicates if at most so many of their bits differ: a cosine of 0.71 between their sets of word pairs.
 MAX_DISTANCE = 64
 #: At least so many tables; more where there are so many signatures that a pair at ``MAX_DISTANCE`` would be compared in none of them more often than once in ten.
-TABLES, SURE_DISTANCE = 32, 40
+TABLES = 32
 #: A table's key has as many bits as leave about ``WHOLE`` times so many signatures in a bucket; those are compared each with each.
 BUCKET, WHOLE = 320, 8
 #: The chance that a pair at ``MAX_DISTANCE`` in one bucket is compared, if the bucket is too large to be compared whole.
@@ -28,6 +28,8 @@ MEET = 0.95
 #: More tables than these have no place in a key; from there on buckets grow instead.
 MOST_TABLES = 1023
 SEED = 20250101
+#: A task holds at most so many rows of a bucket, 10 MB of them. What a bucket has beyond it is compared in blocks, by other tasks.
+HELD = 1 << 18
 
 
 #: Eight bits as eight counters of a byte in one word of 64 bits.
@@ -131,7 +133,7 @@ def meetings(lanes: np.ndarray, seed: int, whole: int) -> Iterator[np.ndarray]:
     A bucket above ``whole`` is split in several independent ways: to parts of ``whole``, but by no more bits than a depth which all share,
     and as often as makes up for that depth. The depth is that of the fewest comparisons; at 0 the bucket is compared whole.
     """
-    order = lambda way: np.random.default_rng((SEED, seed, way)).permutation(BITS)
+    order = lambda way: np.random.default_rng((SEED, seed & (1 << 64) - 1, way)).permutation(BITS)
     least, depth, ways = float(len(lanes)) ** 2, 0, 1
     for d in range(1, 41) if len(lanes) > whole else ():
         often = math.ceil(math.log1p(-MEET) / math.log1p(-_together(d)))
@@ -195,10 +197,14 @@ def forest(ids: np.ndarray, lanes: np.ndarray, most: int) -> np.ndarray:
     return np.sort(ids[np.array(kept)], axis=1)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, ids, lanes) of each run of equal buckets in sorted batches."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    now = None
+def _runs(batches: Iterator[pa.RecordBatch], held: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, bool]]:
+    """(bucket, ids, lanes, block, whether others follow) of each run of equal buckets in sorted batches, in blocks of ``held`` rows, however long the run is."""
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    now, size, block = None, 0, 0
+
+    def all_of(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+
     for batch in batches:
         bucket = batch.column(0).to_numpy(zero_copy_only=False)
         if not len(bucket):
@@ -207,13 +213,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
         lanes = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(LANES)], 1).view(np.uint64)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
         for s, e in zip(cuts[:-1], cuts[1:]):
-            if held and bucket[s] != now:
-                yield now, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                held = []
+            if waiting and bucket[s] != now:
+                yield now, *all_of(waiting), block, False
+                waiting, size, block = [], 0, 0
             now = int(bucket[s])
-            held.append((ids[s:e], lanes[s:e]))
-    if held:
-        yield now, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            while held and size + e - s > held:
+                cut = s + held - size
+                waiting.append((ids[s:cut], lanes[s:cut]))
+                yield now, *all_of(waiting), block, True
+                waiting, size, block, s = [], 0, block + 1, cut
+            waiting.append((ids[s:e], lanes[s:e]))
+            size += e - s
+    if waiting:
+        yield now, *all_of(waiting), block, False
 
 
 def signature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,9 +246,11 @@ def candidate_edges(distinct: DataFrame, n: int, most: int = MAX_DISTANCE, table
 
     A table's key has as many bits as leave about ``bucket`` * ``WHOLE`` of ``n`` signatures in one, and those are compared
     each with each; what exceeds twice that is split where it is read, in several ways. So no signature is dropped, and how dense they lie doesn't matter.
+    Of a bucket with more than ``HELD`` rows, a task only passes blocks on: a second shuffle brings each two of its blocks together in a task.
     """
-    bits = bits_for(n, bucket)
+    bits, held = bits_for(n, bucket), HELD
     tables = tables or tables_for(n, bucket)
+    names = [f"l{k}" for k in range(LANES)]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,30 +259,51 @@ def candidate_edges(distinct: DataFrame, n: int, most: int = MAX_DISTANCE, table
             lanes = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], 1).view(np.uint64)
             for t in range(tables):
                 key = (bits_at(lanes, sampled(t)[:bits]) << np.uint64(10)) | np.uint64(t)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), ids, *columns], ["bucket", "id", *[f"l{k}" for k in range(LANES)]])
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), ids, *columns], ["bucket", "id", *names])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(a, b=None, key=None, block=None, blocks=None, lanes=None) -> pa.RecordBatch:
+        n = len(a)
+        full = lambda v, kind: pa.nulls(n, kind) if v is None else pa.array(np.full(n, v), kind)
+        columns = [pa.array(a), pa.nulls(n, pa.int64()) if b is None else pa.array(b), full(key, pa.int64()), full(block, pa.int32()), full(blocks, pa.int32())]
+        columns += [pa.nulls(n, pa.int64()) if lanes is None else pa.array(lanes[:, k].view(np.int64)) for k in range(LANES)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "bucket", "block", "blocks", *names])
+
+    def compare(batches: Iterator[pa.RecordBatch], held: int | None) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
         size = 0
-        for key, ids, lanes in _runs(batches):
-            for rows in meetings(lanes, key, 2 * bucket * WHOLE):
-                if len(rows) > 1:
-                    edges = forest(ids[rows], lanes[rows], most)
+        for key, ids, lanes, block, more in _runs(batches, held):
+            if block or more:
+                yield rows(ids, key=key, block=block, lanes=np.ascontiguousarray(lanes))
+                if not more:
+                    yield rows(np.zeros(1, np.int64), key=key, blocks=block + 1)
+                continue
+            for part in meetings(lanes, key, 2 * bucket * WHOLE):
+                if len(part) > 1:
+                    edges = forest(ids[part], lanes[part], most)
                     waiting.append(edges)
                     size += len(edges)
             if size > 50_000:
                 both = np.unique(np.concatenate(waiting), axis=0)
                 waiting, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                yield rows(both[:, 0], both[:, 1])
         if waiting:
             both = np.unique(np.concatenate(waiting), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            yield rows(both[:, 0], both[:, 1])
 
     lanes = ", ".join(f"l{k} bigint" for k in range(LANES))
-    spread = distinct.select("id", *[f"l{k}" for k in range(LANES)]).mapInArrow(keys, f"bucket bigint, id bigint, {lanes}")
+    kind = f"a bigint, b bigint, bucket bigint, block int, blocks int, {lanes}"
+    spread = distinct.select("id", *names).mapInArrow(keys, f"bucket bigint, id bigint, {lanes}")
     spark = distinct.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * tables // 500_000)
-    return spread.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a bigint, b bigint").distinct()
+    sifted = materialize(spread.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: compare(b, held), kind), "sifted")
+    edges = sifted.where("b is not null").select("a", "b")
+    large = sifted.where("blocks is not null").select(F.col("bucket").alias("large"), F.col("blocks").alias("of"))
+    if not large.isEmpty():
+        other = F.filter(F.sequence(F.lit(0), F.col("of") - 1), lambda j: j != F.col("block"))
+        pairs = sifted.where("block is not null").join(large, F.col("bucket") == F.col("large")).select("bucket", "block", "a", *names, F.explode(other).alias("other"))
+        pairs = pairs.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), F.col("a").alias("id"), *names)
+        edges = edges.unionByName(pairs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: compare(b, None), kind).select("a", "b"))
+    return edges.distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,5 +351,5 @@ def without_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = whole.where(suspect).withColumn("own", F.xxhash64(text))
     met = keyed.join(marks, id_.eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("content")), "left")
     free = met.where("content is null").select("row")
-    one = met.where("keep").withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "content").orderBy("own"))).where("i = 1").select("row")
+    one = met.where("keep").groupBy("doc_id", "content").agg(F.any_value("row").alias("row")).select("row")
     return clear.unionByName(free).unionByName(one).select("row.*")

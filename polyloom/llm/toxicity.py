@@ -19,9 +19,12 @@ from polyloom.llm.tokens import Words, portions
 #: Labelled documents that the model is fitted on, at most so many of each class, chosen by a hash of their ids.
 MAX_PER_CLASS = 4000
 LOG_TERMS = 22
-#: A term is used if its chi-square against the label is at least this, and if it is among the strongest.
-LEAST_CHI, MAX_TERMS = 15.0, 8192
-FACTORS, EPOCHS, RATE, SHRINK = 6, 40, 0.1, 1e-4
+#: Factors of a term; steps of the linear part alone, of both parts, and of the terms that are left with less shrinkage.
+FACTORS, STEPS = 4, (25, 30, 60)
+#: A weight moves from zero if its gradient is more than so many standard errors of what chance gives a term of its frequency (and more than
+#: one document alone can give); a vector of factors likewise. All terms are trained; none is chosen by its own share in the classes.
+ERRORS, PAIR_ERRORS, RELAXED = 4.0, 4.5, 0.05
+RATE, PAIR_RATE, START = 0.2, 0.05, 0.01
 THRESHOLD = 0.5
 
 
@@ -53,57 +56,81 @@ def document_terms(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Model | None:
-    """By AdaGrad with proximal shrinkage on ``rows`` of distinct terms; None unless both classes occur."""
-    y = labels.astype(np.float64)
-    if not len(rows) or y.min() == y.max():
+def _by_term(term: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents ordered by term, where each term begins)."""
+    counts = np.bincount(term, minlength=n)
+    return doc[np.argsort(term, kind="stable")], np.cumsum(counts) - counts
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 7, factors: int = FACTORS) -> Model | None:
+    """On ``rows`` of distinct terms, by proximal AdaGrad on the whole gradient; None unless both classes occur.
+
+    The loss has an L1 penalty on each weight and one on the length of each vector of factors, both in proportion to the standard
+    error of the term's gradient where the term means nothing, so that a term without part in any pattern stays at zero exactly. The linear part is
+    fitted first, then factors join it on what it leaves over; at the end, the terms that moved are fitted again with little shrinkage.
+    ``factors`` = 0: the linear part alone.
+    """
+    y, n = labels.astype(np.float64), len(rows)
+    if not n or y.min() == y.max():
         return None
-    doc, term = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-    names, term = np.unique(term, return_inverse=True)
-    n, pos = len(rows), y.sum()
-    in_pos = np.bincount(term, y[doc], len(names))
-    in_all = np.bincount(term, minlength=len(names)).astype(np.float64)
-    a, b_, c, d = in_pos, in_all - in_pos, pos - in_pos, n - pos - (in_all - in_pos)
-    chi = n * (a * d - b_ * c) ** 2 / np.maximum(1e-9, (a + b_) * (c + d) * (a + c) * (b_ + d))
-    good = np.flatnonzero((chi >= LEAST_CHI) & (in_all >= 2))
-    good = np.sort(good[np.argsort(-chi[good], kind="stable")[:MAX_TERMS]])
-    at = np.full(len(names), -1)
-    at[good] = np.arange(len(good))
-    keep = at[term] >= 0
-    doc, term = doc[keep], at[term[keep]]
+    wt = weights / weights.mean()
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    names, term = np.unique(np.concatenate(rows), return_inverse=True)
+    term, m, k = term.astype(np.int32), len(names), max(1, factors)
     rng = np.random.default_rng(seed)
-    w, v, bias = np.zeros(len(good)), rng.normal(0, 0.01, (len(good), FACTORS)), 0.0
-    gw, gv, gb = np.full(len(good), 1e-6), np.full((len(good), FACTORS), 1e-6), 1e-6
-    first = np.searchsorted(doc, np.arange(n + 1))
-    for _ in range(EPOCHS):
-        order = rng.permutation(n)
-        for batch in np.array_split(order, max(1, n // 256)):
-            sizes = first[batch + 1] - first[batch]
-            at_ = np.repeat(first[batch] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            d_, t_ = np.repeat(np.arange(len(batch)), sizes), term[at_]
-            vt = v[t_]
-            s = np.zeros((len(batch), FACTORS))
-            np.add.at(s, d_, vt)
-            square = np.bincount(d_, (vt * vt).sum(1), len(batch))
-            z = bias + np.bincount(d_, w[t_], len(batch)) + 0.5 * ((s * s).sum(1) - square)
-            g = weights[batch] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) / len(batch)
-            dw = np.bincount(t_, g[d_], len(w))
-            dv = np.zeros_like(v)
-            np.add.at(dv, t_, g[d_, None] * (s[d_] - vt))
-            gw += dw * dw
-            gv += dv * dv
-            gb += g.sum() ** 2
-            step = RATE / np.sqrt(gw)
-            w = w - step * dw
-            w = np.sign(w) * np.maximum(0, np.abs(w) - step * SHRINK)
-            v = (v - RATE / np.sqrt(gv) * dv) * (1 - RATE * SHRINK)
-            bias -= RATE / np.sqrt(gb) * g.sum()
-    return Model(names[good].astype(np.int64), w, v, float(bias))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    base = float(wt @ y) / n
+    bias, gb = np.log(base / (1 - base)), 1e-12
+    w, v, gw, gv = np.zeros(m), np.zeros((m, k)), np.full(m, 1e-12), np.full(m, 1e-12)
+    docs, cut = _by_term(term, doc, m)
+    often = np.bincount(term, minlength=m).astype(np.float64)
+    least, shrink = None, 1.0
+    for step in range(sum(STEPS)):
+        if step == STEPS[0] and factors:
+            v = rng.normal(0, START, (m, k))
+        if step == STEPS[0] + STEPS[1]:
+            kept = (w != 0) | (v != 0).any(1)
+            if not kept.any():
+                break
+            at, on = (np.cumsum(kept) - 1).astype(np.int32), kept[term]
+            term, doc, names, w, v, often, m = at[term[on]], doc[on], names[kept], w[kept], v[kept], often[kept], int(kept.sum())
+            docs, cut = _by_term(term, doc, m)
+            gw, gv, gb, shrink = np.full(m, 1e-12), np.full(m, 1e-12), 1e-12, RELAXED
+        on = (w != 0)[term]
+        z = bias + np.bincount(doc[on], w[term[on]], n)
+        paired = (v != 0).any(1)
+        if paired.any():
+            on = paired[term]
+            d, t = doc[on], term[on]
+            s = np.stack([np.bincount(d, v[t, i], n) for i in range(k)], 1)
+            z += 0.5 * ((s * s).sum(1) - np.bincount(d, (v * v).sum(1)[t], n))
+        r = wt * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        spread = (r * r).mean()
+        least = least or spread / 4
+        spread = max(spread, least)
+        dw = np.add.reduceat((r / n)[docs], cut)
+        gw += dw * dw
+        gb += r.mean() ** 2
+        rate = RATE / np.sqrt(gw)
+        w = w - rate * dw
+        w = np.sign(w) * np.maximum(0, np.abs(w) - rate * shrink * (ERRORS * np.sqrt(often * spread) + np.abs(r).max()) / n)
+        bias -= RATE / np.sqrt(gb) * r.mean()
+        if paired.any():
+            own, at = np.flatnonzero(paired), np.cumsum(paired) - 1
+            dv = np.stack([np.bincount(at[t], (r * s[:, i])[d], len(own)) for i in range(k)], 1) / n - dw[own, None] * v[own]
+            noise = np.sqrt(spread * np.bincount(at[t], (s * s).sum(1)[d], len(own))) / n
+            gv[own] += (dv * dv).sum(1)
+            rate = PAIR_RATE / np.sqrt(gv[own])
+            new = v[own] - rate[:, None] * dv
+            v[own] = new * np.maximum(0, 1 - rate * shrink * PAIR_ERRORS * noise / np.maximum(1e-12, np.sqrt((new * new).sum(1))))[:, None]
+    kept = (w != 0) | (v != 0).any(1)
+    return Model(names[kept].astype(np.int64), w[kept], v[kept], float(bias))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", factors: int = FACTORS) -> Model | None:
     """Fits on at most ``MAX_PER_CLASS`` labelled documents of each class; the classes' shares in ``labels`` are restored by weights.
 
+    What comes to the driver is the distinct hashed terms of those documents: at most 2**LOG_TERMS numbers each, however long the text.
+
     labels: doc_id, toxic (0 or 1; nulls are ignored; of several labels the greatest counts). None if a class is missing.
     """
     clean = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -130,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
     each = np.array([shares[0] / max(1, (y == 0).sum()), shares[1] / max(1, (y == 1).sum())])
     weights = each[y]
-    return fit(rows, y, weights / weights.mean())
+    return fit(rows, y, weights / weights.mean(), factors=factors)
 
 
 def score_texts(texts: pa.Array, model: Model) -> np.ndarray:

@@ -163,3 +163,76 @@ def test_only_full_responses_answer_revisits(spark):
     ]
     got = sorted((r["record_id"], r["status"], r["response_id"], r["payload_digest"]) for r in resolve_revisits(spark.createDataFrame(rows, schema)).collect())
     assert got == [(10, "resolved", 1, "d1"), (11, "no_response", None, None)]
+
+
+def test_removed_lines_of_awkward_rows(spark):
+    """A null site is no site; of tied places one copy stays; repetitions of the row that keeps a line keep it too; a very long text loses its line."""
+    line, other = "a line that more than ten sites carry", "a line that nine sites and rows without one carry"
+    long = "\n".join([f"own line number {i} of the long text" for i in range(30_000)] + [line])
+    rows = [(100 + i, f"{line}\nown words of text {i}", f"s{i}", "en") for i in range(12)]
+    rows += [(200 + i, f"{other}\nmore words of text {i}", f"s{i}" if i < 9 else None, "en") for i in range(14)]
+    rows += [(50, f"{line}\n{line}\nfirst", "s0", "en")] * 3  # the least place, three times, and a second place within the row
+    rows += [(None, f"{line}\nwithout an id", None, None), (60, long, "s1", "en"), (61, line, "s2", "en"), (62, None, "s3", "en"), (63, "", None, "en")]
+    docs = table(spark, rows)
+    got = sorted((r["doc_id"] or 0, r["removed"], r["kept"], r["text"]) for r in removed_lines(docs).collect())
+    want = [(0, 1, 1, "without an id")] + [(50, 1, 2, f"{line}\nfirst")] * 3 + [(60, 1, 30_000, long[: -len(line) - 1]), (61, 1, 0, "")] + [(100 + i, 1, 1, f"own words of text {i}") for i in range(12)]
+    assert got == want
+    left = without_boilerplate(docs)
+    assert left.columns == docs.columns and left.count() == len(rows) - 1  # only the text that was nothing but the line goes
+    assert {r["doc_id"]: r["text"] for r in left.where("doc_id in (62, 63)").collect()} == {62: None, 63: ""}
+
+
+def test_mixture_of_null_categories(spark):
+    rows = [(i, "some words of a text", None if i % 2 else "a", None if i % 3 else "en") for i in range(60)] + [(None, "some words", None, None)] * 3
+    out = mixture(table(spark, rows)).collect()
+    assert len(out) == len(rows) and all(0 <= r["probability"] <= 1 and r["sampled"] is not None for r in out)
+    assert {(r["source"], r["lang"]) for r in out} == {("a", "en"), ("a", None), (None, "en"), (None, None)}
+    assert len({r["sampled"] for r in out if r["doc_id"] is None}) == 1
+    kept = sampled(table(spark, rows)).collect()
+    assert sorted((r["doc_id"] or -1) for r in kept) == sorted((r["doc_id"] or -1) for r in out if r["sampled"])
+
+
+def test_records_of_awkward_pages(spark):
+    """A page without url or html gives records without them; its revisit has no place."""
+    from polyloom.llm.revisits import crawl_records
+
+    pages = spark.createDataFrame([(1, "http://a.org/x", "<p>", "k"), (2, None, "<p>", "k"), (4, "http://a.org/y", None, "k"), (5, "http://a.org/x", "<p>", "k"), (5, "http://a.org/x", "<p>", "k")], "page_id long, url string, html string, kind string")
+    records = crawl_records(pages)
+    assert records.count() == 10
+    got = {(r["record_id"], r["status"]) for r in resolve_revisits(records).collect()}
+    assert (5, "unplaced") in got and {k for k, _ in got} == {3, 5, 9, 11}
+    assert crawl_records(pages.limit(0)).count() == 0
+
+
+def test_batches_have_one_length(spark, tmp_path):
+    from polyloom.llm.packing import buckets, write_batches
+
+    docs = table(spark, [(i, " ".join(["w"] * (i % 50)), "a", "en") for i in range(400)] + [(None, "w w w", None, None), (3, None, "a", "en")])
+    packed = pack(docs, 16, batch_tokens=64)
+    rows = packed.collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["length"]] = sizes.get(r["length"], 0) + 1
+    assert {r["length"]: r["bucket_pieces"] for r in buckets(docs, 16).collect()} == sizes and all(r["bucket_pieces"] == sizes[r["length"]] for r in rows)
+    batches = {}
+    for r in rows:
+        batches.setdefault((r["length"], r["batch"]), []).append(r["length"])
+    for length, n in sizes.items():
+        mine = [len(v) for (k, _), v in batches.items() if k == length]
+        assert len(mine) <= -(-n * length // 64) and sum(mine) == n and max(mine) <= 64 / length + 6 * (64 / length) ** 0.5 + 1
+    write_batches(packed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == len(rows) and sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == sorted(f"length={k}" for k in sizes)
+    assert pack(docs.limit(0)).count() == 0
+
+
+def test_copies_of_one_page_are_aggregated_before_they_travel(spark):
+    """A third of all rows in one group: no window, no task that gets them all, and the same result."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the hot page " * 50).otherwise(F.concat(F.lit("page "), F.col("id").cast("string"))).alias("text"))
+    for found in (fingerprints(docs).where("group_size > 1"), exact_duplicates(docs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan
+        r = found.groupBy("group_id", "group_size").count().collect()
+        assert [tuple(x) for x in r] == [(0, 20_000, 20_000)]
