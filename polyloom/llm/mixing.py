@@ -6,6 +6,9 @@ there is; a document is then sampled with its cell's probability.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,19 +27,21 @@ KEEP = 0.7
 TOLERANCE, MOST_SWEEPS = 1e-12, 2000
 SEED = 17
 WORD = "[^ \\t\\n\\f\\r]+"
-MARK = "[^\\p{L}\\p{N} \\t\\n\\f\\r]"
+MARK = "[#$%&*@~^=+<>{}_/]"
+#: Words that legal notices have, in lower case.
+LEGAL = ("license", "licence", "copyright", "warrant")
 #: The first that holds is the topic; see ``topic``.
 TOPICS = ("legal", "shouted", "tabular", "numeric", "marked", "prose")
 
 
 def topic(text: Column) -> Column:
     """The kind of text, from all of it: legal notices by their words, capitals only, three cells or more between bars or tabs, a fifth or more
-    of digits, an eighth or more of other marks, or prose. Null text: prose."""
+    of digits, a sixteenth or more of signs that prose hasn't, or prose. Null text: prose."""
     n = F.char_length(text)
     cells = (n - F.char_length(F.replace(F.replace(text, F.lit("\t"), F.lit("")), F.lit("|"), F.lit(""))))
-    legal = text.rlike("(?i)licen[cs]e|copyright|warrant")
+    legal = functools.reduce(operator.or_, (F.lower(text).contains(w) for w in LEGAL))
     shouted = text.rlike("[A-Z]") & ~text.rlike("[a-z]")
-    return F.when(legal, "legal").when(shouted, "shouted").when(cells >= 3, "tabular").when((n > 0) & (F.regexp_count(text, F.lit("[0-9]")) * 5 >= n), "numeric").when((n > 0) & (F.regexp_count(text, F.lit(MARK)) * 8 >= n), "marked").otherwise("prose")
+    return F.when(legal, "legal").when(shouted, "shouted").when(cells >= 3, "tabular").when((n > 0) & (F.regexp_count(text, F.lit("[0-9]")) * 5 >= n), "numeric").when((n > 0) & (F.regexp_count(text, F.lit(MARK)) * 16 >= n), "marked").otherwise("prose")
 
 
 def uniform(id_: Column, text: Column, seed: int = SEED) -> Column:
@@ -148,11 +153,11 @@ g_{c} as (select w.c, case when w.w > 0 then least(w.h, coalesce(l.level, 1e300)
     marg = ", ".join(f"g_{c}" for c in MARGINALS)
     return f"""
 with recursive d as (select doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^ \t\n\f\r]+')), 0) as tokens,
-  case when regexp_matches(text, '(?i)licen[cs]e|copyright|warrant') then 'legal'
+  case when {" or ".join(f"contains(lower(text), '{w}')" for w in LEGAL)} then 'legal'
     when regexp_matches(text, '[A-Z]') and not regexp_matches(text, '[a-z]') then 'shouted'
     when length(text) - length(replace(replace(text, chr(9), ''), '|', '')) >= 3 then 'tabular'
     when length(text) > 0 and len(regexp_extract_all(text, '[0-9]')) * 5 >= length(text) then 'numeric'
-    when length(text) > 0 and len(regexp_extract_all(text, '[^\\p{{L}}\\p{{N}} \t\n\f\r]')) * 8 >= length(text) then 'marked' else 'prose' end as topic,
+    when length(text) > 0 and len(regexp_extract_all(text, '{MARK}')) * 16 >= length(text) then 'marked' else 'prose' end as topic,
   ('0x' || substr(md5(doc_id || ':{SEED}'), 1, 13))::bigint / pow(2.0, 52) as u from documents),
 cells as (select source, lang, topic, sum(tokens)::double as n from d group by all),
 tot as (select *, greatest(sum(n) over (), 1) as total from cells),
