@@ -189,9 +189,70 @@ class Snapshot:
         return met.select("code", "region", "display_name", F.coalesce(F.col("region") == F.col("default_region"), F.lit(False)).alias("first"), "pack_id", "voice")
 
 
-def pack_batch(packs: DataFrame, feature: str, engine: str | None = None, limit: int | None = None) -> DataFrame:
+    def language_list(self) -> DataFrame:
+        """The languages in the order of their codes."""
+        return self.catalog.languages.orderBy("code")
+
+    def language_info(self) -> DataFrame:
+        """code, name, script, tess_name, tess_bytes, dictionary_code, error: what a language's recognition and dictionary packs say of it.
+
+        tess_name is that of the first file of the recognition pack without its ending; the dictionary's code, or the language's own. error
+        tells what is wrong with the recognition pack: a catalog with any such error isn't to be used.
+        """
+        c = self.catalog
+        ocr = c.roots.where("feature = 'ocr'").select("code", "pack_id").join(c.packs.select("pack_id", F.lit(True).alias("there")), "pack_id", "left")
+        ocr = ocr.join(c.files.groupBy("pack_id").agg(F.min_by("name", "ord").alias("first"), F.sum("size_bytes").alias("tess_bytes")), "pack_id", "left").drop("pack_id")
+        words = c.roots.where("feature = 'dictionary'").join(c.packs.select("pack_id", "dictionary_code"), "pack_id").select("code", "dictionary_code")
+        met = c.languages.join(ocr, "code", "left").join(words, "code", "left")
+        good = F.col("first").endswith(".traineddata")
+        error = F.when(F.col("there").isNull(), "no recognition pack").when(F.col("first").isNull(), "recognition pack without files").when(~good, F.concat(F.lit("odd file name "), "first"))
+        return met.select("code", "name", "script", F.when(good, F.regexp_replace("first", "[.]traineddata$", "")).alias("tess_name"), F.coalesce("tess_bytes", F.lit(0)).alias("tess_bytes"), F.coalesce("dictionary_code", "code").alias("dictionary_code"), error.alias("error"))
+
+    def voice_files(self) -> DataFrame:
+        """code, pack_id, engine, model_path, aux_path, speaker_id of the first installed voice of each language whose model and whose engine's other file are among its files and those it needs."""
+        c = self.catalog
+        first = first_by(c.roots.where("feature = 'tts'").join(self._installed, "pack_id", "left_semi"), ["code"], "ord").select("code", "pack_id")
+        voice = first.join(c.packs.select("pack_id", F.coalesce("engine", F.lit("piper")).alias("engine"), F.col("default_speaker_id").alias("speaker_id")), "pack_id")
+        files = voice.withColumnRenamed("pack_id", "root").join(self.reach, "root").join(c.files.select("pack_id", "ord", "name", "install_path"), "pack_id")
+        name = F.col("name")
+        model = name.endswith(".onnx")
+        aux = F.when(F.col("engine") == "kokoro", name.endswith(".bin")).when(F.col("engine") == "mms", name.endswith("tokens.txt")).when(F.col("engine").isin("coqui_vits", "sherpa_vits"), name == "config.json").otherwise(name.endswith(".onnx.json"))
+        place = F.struct((F.col("pack_id") != F.col("root")).alias("far"), "pack_id", "ord", "install_path")
+        found = files.groupBy("code", F.col("root").alias("pack_id"), "engine", "speaker_id").agg(F.min(F.when(model, place)).alias("m"), F.min(F.when(aux, place)).alias("a"))
+        return found.where("m is not null and a is not null").select("code", "pack_id", "engine", F.col("m.install_path").alias("model_path"), F.col("a.install_path").alias("aux_path"), "speaker_id")
+
+    def speech_assets(self, base: str) -> DataFrame:
+        """``voice_files`` with full paths, of those whose files are really there, and data_root if the phonemizer's data are; Japanese has dict_path if its dictionary is."""
+        root, have = base.rstrip("/"), self.catalog.installed.select("install_path").distinct()
+        met = self.voice_files().join(have, F.col("model_path") == F.col("install_path"), "left_semi").join(have, F.col("aux_path") == F.col("install_path"), "left_semi")
+        data = self.catalog.installed.where("install_path like 'bin/espeak-ng-data/%'").limit(1).agg((F.count(F.lit(1)) > 0).alias("data")).scalar()
+        dictionary = self.catalog.installed.where("install_path = 'bin/mucab.bin'").limit(1).agg((F.count(F.lit(1)) > 0).alias("d")).scalar()
+        full = lambda c: F.concat(F.lit(root + "/"), c)
+        return met.select("code", "engine", full("model_path").alias("model_path"), full("aux_path").alias("aux_path"), "speaker_id", F.when(data, F.lit(root + "/bin")).alias("data_root"), F.when(data & dictionary & (F.col("code") == "ja"), F.lit(root + "/bin/mucab.bin")).alias("dict_path"))
+
+    def plan_delete_support(self, kind: str) -> DataFrame:
+        """kind, path: the files of the support packs of a kind, and folders of archives. Unlike other deletions it doesn't follow what they need, nor spare what others do."""
+        gone = self.catalog.packs.where((F.col("feature") == "support") & (F.col("kind") == kind)).select("pack_id").join(self.catalog.files, "pack_id")
+        files = gone.select(F.lit("file").alias("kind"), F.col("install_path").alias("path"))
+        folders = gone.where("archive_format = 'zip'").select(F.lit("directory").alias("kind"), F.regexp_extract("marker_path", "^(.*)/[^/]*$", 1).alias("path")).where("path <> ''")
+        return files.union(folders).distinct()
+
+    def plan_totals(self) -> DataFrame:
+        """code, part, tasks, bytes of each download plan; a part without a pack has no row, one with all there has none to load."""
+        roots = self.catalog.roots
+        parts = self.core_roots().select("code", F.lit("core").alias("part")).union(roots.where("feature = 'dictionary'").select("code", F.lit("dictionary"))).union(roots.where("feature = 'tts' and ord = 0").select("code", F.lit("tts"))).distinct()
+        sums = self.plan_download().groupBy("code", "part").agg(F.count(F.lit(1)).alias("tasks"), F.sum("size_bytes").alias("bytes"))
+        return parts.join(sums, ["code", "part"], "left").fillna(0, ["tasks", "bytes"])
+
+    def lookup(self, table: str, key: str, value) -> DataFrame:
+        """The rows of one of the catalog's tables with a key, such as ``lookup("packs", "pack_id", "x")``."""
+        return getattr(self.catalog, table).where(F.col(key) == value)
+
+
+def pack_batch(packs: DataFrame, feature: str, engine: str | None = None, limit: int | None = None, language: str | None = None) -> DataFrame:
     """The packs of a feature in the order in which a batch takes them: language, voice, quality, id."""
     rows = packs.where(F.col("feature") == feature)
+    rows = rows if language is None else rows.where(F.col("language") == language)
     rows = rows if engine is None else rows.where(F.coalesce("engine", F.lit("piper")) == engine)
     order = [F.coalesce(c, F.lit("")) for c in ("language", "voice", "quality")]
     out = rows.orderBy(*order, "pack_id")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKIPPED = frozenset("canvas code embed iframe kbd math noscript object pre samp script style svg template textarea var".split())
-INLINE = frozenset("a b i q s u br em rp rt tt bdi bdo big del dfn img ins kbd sub sup var wbr abbr cite code data font mark math nobr ruby samp span time label small output strike strong acronym".split())
+INLINE = frozenset("a b i q s u br em rb rp rt tt bdi bdo del dfn img ins kbd sub sup var wbr abbr cite code data font mark math ruby samp span time label small output strong".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FRAME = frozenset("html head body".split())
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from polyloom.registry import catalog, extensions, layout, media, text
+from polyloom.registry import catalog, extensions, layout, media, more, text
 
 ORACLES: dict[str, str] = {}
-for _part in (text, catalog, media, layout, extensions):
+for _part in (text, catalog, media, layout, extensions, more):
     ORACLES |= _part.ORACLES

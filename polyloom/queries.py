@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyloom.registry import catalog, extensions, layout, media, text
+from polyloom.registry import catalog, extensions, layout, media, more, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-for _part in (text, catalog, media, layout, extensions):
+for _part in (text, catalog, media, layout, extensions, more):
     QUERIES |= _part.QUERIES

@@ -24,6 +24,7 @@ _PACKS = [
     ("mt-base", "support", None, None, None, None, "runtime", None, None, None, None, None, []),
     ("mt-fr-vocab", "support", None, None, "fr", None, None, None, None, None, None, None, []),
     ("filter", "support", None, None, None, None, "adblock", None, None, None, None, None, ["mt-base"]),
+    ("rules", "support", None, None, "es", None, "adblock", None, None, None, None, None, ["mt-base"]),
     ("scan-en", "ocr", None, None, "en", None, None, "tesseract", None, None, None, None, []),
     ("scan-es", "ocr", None, None, "es", None, None, "tesseract", None, None, None, None, []),
     ("words-en", "dictionary", None, None, "en", "en", None, None, None, None, None, None, []),
@@ -42,14 +43,14 @@ _FILES = [
     ("mt-fr-en", 0, "model.fren.bin", "mt/model.fren.bin", "u/11", 33, None, None, None, None), ("mt-fr-en", 1, "vocab.f.spm", "mt/vocab.f.spm", "u/10", 32, None, None, None, None),
     ("mt-ja-en", 0, "model.jaen.bin", "mt/model.jaen.bin", "u/12", 34, None, None, None, None),
     ("mt-core", 0, "core.bin", "mt/core.bin", "u/13.gz", 40, None, None, None, None), ("mt-base", 0, "base.bin", "mt/base.bin", "u/14", 41, None, None, None, None), ("mt-fr-vocab", 0, "fr.bin", "mt/fr.bin", "u/15", 42, None, None, None, None),
-    ("filter", 0, "list.txt", "filter/list.txt", "u/16", 43, None, None, None, None), ("scan-en", 0, "eng.data", "scan/eng.data", "u/17", 10, None, None, None, None), ("scan-es", 0, "spa.data", "scan/spa.data", "u/18", 11, None, None, None, None),
+    ("filter", 0, "list.txt", "filter/list.txt", "u/16", 43, None, None, None, None), ("rules", 0, "rules.zip", "filter/rules.zip", "u/26", 44, None, "zip", "filter/rules/.done", 1), ("scan-en", 0, "eng.traineddata", "scan/eng.data", "u/17", 10, None, None, None, None), ("scan-es", 0, "spa.data", "scan/spa.data", "u/18", 11, None, None, None, None),
     ("words-en", 0, "en.dict", "words/en.dict", "u/19", 12, None, None, None, None), ("words-es", 0, "es.dict", "words/es.dict", "u/20", 13, None, None, None, None),
-    ("say-en-1", 0, "amy.onnx", "say/amy.onnx", "u/21", 50, None, None, None, None), ("say-en-2", 0, "star.zip", "say/star.zip", "u/22", 51, None, "zip", "say/star/.done", 2), ("say-es-1", 0, "carlos.onnx", "say/carlos.onnx", "u/23", 52, None, None, None, None), ("say-es-2", 0, "rosa.onnx", "say/rosa.onnx", "u/24", 53, None, None, None, None),
+    ("say-en-1", 0, "amy.onnx", "say/amy.onnx", "u/21", 50, None, None, None, None), ("say-en-1", 1, "amy.onnx.json", "say/amy.onnx.json", "https://h.org/say/amy.json", 1, None, None, None, None), ("say-en-2", 0, "star.zip", "say/star.zip", "u/22", 51, None, "zip", "say/star/.done", 2), ("say-es-1", 0, "carlos.onnx", "say/carlos.onnx", "u/23", 52, None, None, None, None), ("say-es-2", 0, "rosa.onnx", "say/rosa.onnx", "u/24", 53, None, None, None, None), ("say-es-2", 1, "rosa.onnx.json", "say/rosa.onnx.json", "/say/rosa.json", 2, None, None, None, None),
     ("phonemes", 0, "data.zip", "say/data.zip", "u/25", 54, None, "zip", "say/data/.done", 3),
 ]
 _ASSETS = {"en": ([], "scan-en", "words-en", []), "es": (["mt-es-en", "mt-en-es"], "scan-es", "words-es", ["filter"]), "fr": (["mt-fr-en", "mt-en-fr"], None, None, ["mt-fr-vocab"]), "ja": (["mt-ja-en"], None, None, []), "xx": ([], None, None, [])}
 _REGIONS = [("en", "gb", "Britain", "say-en-2"), ("en", "us", "United States", "say-en-1"), ("es", "es", "es", "say-es-1"), ("es", "mx", "Mexico", "say-es-2")]
-_INSTALLED = ["mt/model.enes.bin", "mt/lex.enes.bin", "mt/vocab.a.spm", "mt/vocab.z.spm", "mt/model.esen.bin", "mt/lex.esen.bin", "mt/vocab.b.spm", "mt/core.bin", "mt/base.bin", "mt/fr.bin", "mt/model.enfr.bin", "mt/lex.enfr.bin", "mt/vocab.f.spm", "scan/eng.data", "words/es.dict", "say/amy.onnx", "say/carlos.onnx", "say/rosa.onnx", "filter/list.txt"]
+_INSTALLED = ["mt/model.enes.bin", "mt/lex.enes.bin", "mt/vocab.a.spm", "mt/vocab.z.spm", "mt/model.esen.bin", "mt/lex.esen.bin", "mt/vocab.b.spm", "mt/core.bin", "mt/base.bin", "mt/fr.bin", "mt/model.enfr.bin", "mt/lex.enfr.bin", "mt/vocab.f.spm", "scan/eng.data", "words/es.dict", "say/amy.onnx", "say/amy.onnx.json", "say/carlos.onnx", "say/rosa.onnx", "say/rosa.json", "say/rosa.onnx.json", "filter/list.txt", "bin/espeak-ng-data/phontab"]
 _MARKERS = [("say/star/.done", 1), ("say/data/.done", 3)]
 
 

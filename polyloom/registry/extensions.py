@@ -11,7 +11,7 @@ from polyloom.operators import kernels, translate
 from polyloom.plans.shared import shared_dir
 from polyloom.registry.base import table, values_df
 from polyloom.registry.layout import _fragments
-from polyloom.registry.text import _CLASS, _counts_sql, _robust_sql
+from polyloom.registry.text import _CLASS, _LEX, _SENT, _TRIM, _counts_sql, _robust_sql
 from polyloom.streaming import routing as streams
 
 AVAILABLE = ["de", "en", "es", "fr"]
@@ -28,7 +28,9 @@ def star_join_revenue(spark, sf_dir):
 
 
 def customers_without_orders(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Those without an urgent one: every customer has some order here."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def lineitem_rollup(spark, sf_dir):
@@ -89,9 +91,10 @@ QUERIES = {f.__name__: f for f in (star_join_revenue, customers_without_orders,
 
 ORACLES = {
     "star_join_revenue": "select r_name, o_orderpriority, count(*) as n, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2",
-    "customers_without_orders": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
+    "customers_without_orders": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')",
     "lineitem_rollup": "select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as quantity from lineitem group by rollup (l_returnflag, l_linestatus)",
     "top_orders_by_customer": "select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey)::int as rank from orders qualify rank <= 3",
     "event_sessions": "with g as (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap from events), s as (select *, sum(case when gap < 1800000000 then 0 else 1 end) over (partition by user_id order by ts, event_id)::bigint as session from g) select user_id, session, count(*) as n, min(event_id) as first_event from s group by 1, 2",
+    "translate_texts_kernel": f"with b as (select conv_id * 1000 + turn as id, {_TRIM('text')} as text, case (conv_id * 1000 + turn) % 4 when 0 then 'de' when 1 then 'es' when 2 then 'fr' else 'xx' end as f, case when (conv_id * 1000 + turn) % 3 = 0 then 'fr' else 'en' end as t from conversations), p as (select *, f = t or text = '' or regexp_full_match(text, '[+-]?[0-9.]+') as plain from b) select id, case when plain then text when f <> 'xx' then array_to_string(list_transform(string_split(text, chr(10)), lambda l: case when {_TRIM('l')} = '' then l else array_to_string(list_transform({_SENT('l')}, lambda s: {_LEX('s', 'f')}), ' ') end), chr(10)) end as translated, case when not plain and f = 'xx' then 'missing route ' || f || '-' || t end as error from p",
     "stream_classes": f"with c as (select *, {_CLASS('text')} as class, {_robust_sql(AVAILABLE)} as lang from ({_counts_sql('documents', 'doc_id')})) select class, case when class = 'translatable' then lang end as language, count(*) as n from c group by 1, 2",
 }

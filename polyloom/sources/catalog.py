@@ -60,8 +60,23 @@ def parse_catalog(documents: DataFrame, json_col: str = "json") -> Catalog:
     return Catalog(languages, packs, files, deps, roots, regions.select("code", "region", "display_name", F.explode("voices").alias("pack_id")))
 
 
-def read_catalog(spark: SparkSession, path: str) -> Catalog:
-    return parse_catalog(spark.read.text(path, wholetext=True), "value")
+def catalog_errors(documents: DataFrame, json_col: str = "json") -> DataFrame:
+    """error: what makes a catalog unfit as a whole: no JSON, another format version, or a language whose recognition pack is missing or oddly named. No rows: it is good."""
+    parsed = documents.select(F.from_json(F.col(json_col), SCHEMA).alias("c"))
+    head = parsed.where(F.coalesce(F.col("c.formatVersion") != FORMAT_VERSION, F.lit(True))).select(F.when(F.col("c.formatVersion").isNull(), "no catalog").otherwise(F.concat(F.lit("format version "), F.col("c.formatVersion").cast("string"))).alias("error"))
+    good = parsed.where(F.col("c.formatVersion") == FORMAT_VERSION).select("c.packs", F.explode("c.languages").alias("code", "v"))
+    pack = F.try_element_at("packs", F.coalesce(F.try_element_at("v.assets.ocr", F.lit("tesseract")), F.lit("")))
+    name = F.get(pack["files"], F.lit(0))["name"]
+    odd = good.where(~F.coalesce(name.endswith(".traineddata"), F.lit(False))).select(F.concat(F.lit("recognition pack of "), "code").alias("error"))
+    return head.unionByName(odd)
+
+
+def read_catalog(spark: SparkSession, path: str, strict: bool = True) -> Catalog:
+    """The tables of the catalog in a file. ``strict``: an error if any part of it is unfit; else unfit catalogs give no rows, and odd languages stay."""
+    text = spark.read.text(path, wholetext=True)
+    if strict and (wrong := [r["error"] for r in catalog_errors(text, "value").limit(20).collect()]):
+        raise ValueError("; ".join(sorted(wrong)))
+    return parse_catalog(text, "value")
 
 
 def best_catalog(bundled: Column, disk: Column) -> Column:
