@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from polyloom.functions.text import is_blank
 from polyloom.operators.ocr import WORDS, text_blocks, text_lines
@@ -51,22 +53,23 @@ def recognise(images: DataFrame, load: Callable[[str, str], Callable[[bytes, int
 
     The recogniser is made once for each spec in a worker's batch: rows of one spec lie together within a partition, and nothing is shuffled.
     """
-    names = ["img", "ord", "text", "confidence", "left", "top", "right", "bottom", "begins_para", "end_para", "end_line", "error"]
     kind = "img long, ord int, text string, confidence double, left int, top int, right int, bottom int, begins_para boolean, end_para boolean, end_line boolean, error string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = EngineCache(load)
         for batch in batches:
             rows = []
-            for img in batch.itertuples(index=False):
+            for img in batch.to_pylist():
                 try:
-                    found = cache.engine(folder, img.spec, img.mode)(img.data, img.width, img.height, img.mode)
-                    rows += [{"img": img.img, "ord": i, "error": None, **w} for i, w in enumerate(found)]
+                    found = cache.engine(folder, img["spec"], img["mode"])(img["data"], img["width"], img["height"], img["mode"])
+                    rows += [{"img": img["img"], "ord": i, "error": None, **w} for i, w in enumerate(found)]
                 except Exception as e:  # noqa: BLE001  a native recogniser's failure becomes a value
-                    rows.append({"img": img.img, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=names)
+                    rows.append({"img": img["img"], "error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return images.select("img", "width", "height", "data", "spec", "mode").sortWithinPartitions("spec", "mode").mapInPandas(run, kind)
+    return images.select("img", "width", "height", "data", "spec", "mode").sortWithinPartitions("spec", "mode").mapInArrow(run, kind)
 
 
 def translate_blocks(blocks: DataFrame, source: str, target: str, translate: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -10,6 +10,7 @@ import dataclasses
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,19 +85,19 @@ def warm(spark: SparkSession, load: Callable[[str], Translate], keys: list[str],
     """Loads the models of ``keys`` in as many tasks as there are workers; how many loaded. What fails to load counts as not loaded."""
     n = workers or EngineConfig.of(spark).workers
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for key in batch["key"]:
+            for key in batch.column(0).to_pylist():
                 try:
                     _loaded(load, key)
                     good.append(key)
                 except Exception:  # noqa: BLE001  a native kernel's failure isn't the job's
                     continue
-            yield pd.DataFrame({"key": good})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(good, pa.string())})
 
     rows = spark.createDataFrame([(w, k) for w in range(n) for k in keys], "worker int, key string").repartition(n, "worker").select("key")
-    return rows.mapInPandas(run, "key string").distinct().count()
+    return rows.mapInArrow(run, "key string").distinct().count()
 
 
 def identity(_key: str) -> Translate:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,17 +66,19 @@ def truncated_pcm(sample: Column) -> Column:
 def process(packs: DataFrame, make: Callable[[dict], bytes], workers: int = 8) -> DataFrame:
     """pack_id, data, error of each pack (with its columns as a dict) by ``make``, in ``workers`` partitions; a failure is an error of that pack alone."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("pack_id", pa.string()), ("data", pa.binary()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 try:
                     rows.append({"pack_id": row["pack_id"], "data": make(row), "error": None})
                 except Exception as e:  # noqa: BLE001  one sample's failure doesn't stop the batch
                     rows.append({"pack_id": row["pack_id"], "data": None, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=["pack_id", "data", "error"])
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return packs.repartition(workers, "pack_id").mapInPandas(run, "pack_id string, data binary, error string")
+    return packs.repartition(workers, "pack_id").mapInArrow(run, "pack_id string, data binary, error string")
 
 
 def totals(processed: DataFrame) -> DataFrame:
