@@ -231,6 +231,18 @@ def wrap(text: Column, width: int) -> Column:
     return F.aggregate(words, zero, step, lambda a: F.when(a["now"].isNull(), a["lines"]).otherwise(F.array_append(a["lines"], a["now"])))
 
 
+def nearest_rects(rows: DataFrame, rects: DataFrame, page: str, row: str, place: list[str], hit: Column) -> DataFrame:
+    """page, row, rect: for each of ``rows`` (page, row, and ``place``, x among it) the rect (page, rect, x0, y0, x1, y1) with ``hit`` whose left edge is nearest to x; of equal ones the least id.
+
+    Rects of one shape are one, that of the least id, and rows at one place are looked up once. So what meets are a page's places and shapes that differ,
+    however often each occurs. Places and shapes that all differ still meet pair by pair on their page.
+    """
+    shapes = rects.groupBy(page, "x0", "y0", "x1", "y1").agg(F.min(F.struct("rect"))["rect"].alias("rect"))
+    met = rows.select(page, *place).distinct().join(shapes, page).where(hit)
+    best = met.groupBy(page, *place).agg(F.min(F.struct(F.abs(F.col("x") - F.col("x0")), "rect")).alias("best"))
+    return rows.join(best, [page, *place]).groupBy(page, row).agg(F.min("best").alias("best")).select(page, row, F.col("best.rect").alias("rect"))
+
+
 def rects_hit(marks: DataFrame, rects: DataFrame, page: str) -> DataFrame:
     """page, mark, rect: for each mark (page, mark, x, y) the rect (page, rect, x0, y0, x1, y1) around it with the nearest left edge; of equal ones the least id."""
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))

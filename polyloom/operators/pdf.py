@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyloom.operators.layout import font_style, math_kind, opaque_runs, skip_line, wrap_widths
+from polyloom.operators.layout import font_style, math_kind, nearest_rects, opaque_runs, skip_line, wrap_widths
 from polyloom.plans.folds import fold_groups
 
 BLACK = 0xFF000000
@@ -100,9 +100,9 @@ def segment_meets_rect(ax: Column, ay: Column, bx: Column, by: Column, x0: Colum
 
 def shows_hit(shows: DataFrame, rects: DataFrame, page: str) -> DataFrame:
     """page, show, rect: for each piece of text (page, show, x, y to end_x, end_y) the rect (page, rect, x0, y0, x1, y1) that it touches with the nearest left edge; of equal ones the least id."""
-    hit = segment_meets_rect(*[F.col(c) for c in ("x", "y", "end_x", "end_y", "x0", "y0", "x1", "y1")])
-    met = shows.join(rects, page).where((F.least("x", "end_x") <= F.col("x1") + EPS) & (F.greatest("x", "end_x") >= F.col("x0") - EPS) & hit)
-    return met.groupBy(page, "show").agg(F.min(F.struct(F.abs(F.col("x") - F.col("x0")), "rect")).alias("best")).select(page, "show", F.col("best.rect").alias("rect"))
+    place = ["x", "y", "end_x", "end_y"]
+    near = (F.least("x", "end_x") <= F.col("x1") + EPS) & (F.greatest("x", "end_x") >= F.col("x0") - EPS)
+    return nearest_rects(shows, rects, page, "show", place, near & segment_meets_rect(*[F.col(c) for c in (*place, "x0", "y0", "x1", "y1")]))
 
 
 def replaced_ops(ops: DataFrame, hits: DataFrame, page: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -193,3 +194,26 @@ def test_image_texts(spark):
     words = spark.createDataFrame([(1, 0, "der", 95.0, 0, 0, 20, 10, True, False, False), (1, 1, "Hund", 95.0, 24, 0, 50, 10, False, True, True), (2, 0, "x", 10.0, 0, 0, 9, 9, True, True, True)], images.WORDS)
     lines, blocks = images.image_texts(words, "de", "de", lambda rows: rows)
     assert [(r["img"], r["text"]) for r in lines.collect()] == [(1, "der Hund")] and [(r["img"], r["translated"], r["error"]) for r in blocks.collect()] == [(1, "der Hund", None)]
+
+
+def crowded(spark):
+    """30,000 pieces of text at 60 places of one page, and 6,000 rects of 45 shapes: 180 million pairs."""
+    n = F.col("id")
+    shows = spark.range(30_000).select(F.lit(1).alias("page"), n.alias("show"), (n % 10 * 7.5).alias("x"), (n % 6 * 9.25).alias("y"), (n % 10 * 7.5 + n % 4 * 5).alias("end_x"), (n % 6 * 9.25 - n % 3).alias("end_y"))
+    rects = spark.range(6_000).select(F.lit(1).alias("page"), (6_000 - n).alias("rect"), (n % 9 * 8.0).alias("x0"), (n % 5 * 10.0).alias("y0"), (n % 9 * 8.0 + 9).alias("x1"), (n % 5 * 10.0 + 4).alias("y1"))
+    return shows, rects
+
+
+def shapes_of(rects):
+    return rects.groupBy("x0", "y0", "x1", "y1").agg(F.min("rect").alias("rect")).collect()
+
+
+def test_crowded_pages_are_hit_by_places_and_shapes(spark):
+    shows, rects = crowded(spark)
+    began = time.monotonic()
+    got = {r["show"]: r["rect"] for r in pdf.shows_hit(shows, rects, "page").collect()}
+    assert time.monotonic() - began < 60
+    few = spark.createDataFrame([(1, s["rect"], s["x0"], s["y0"], s["x1"], s["y1"]) for s in shapes_of(rects)], "page int, rect long, x0 double, y0 double, x1 double, y1 double")
+    pairs = shows.where("show < 60").crossJoin(few.drop("page")).where(pdf.segment_meets_rect(*[F.col(c) for c in ("x", "y", "end_x", "end_y", "x0", "y0", "x1", "y1")])).collect()
+    want = {k: min((abs(p["x"] - p["x0"]), p["rect"]) for p in pairs if p["show"] == k)[1] for k in {p["show"] for p in pairs}}
+    assert 0 < len(want) < 60 and got == {k: want[k % 60] for k in range(30_000) if k % 60 in want}
