@@ -217,3 +217,18 @@ def test_crowded_pages_are_hit_by_places_and_shapes(spark):
     pairs = shows.where("show < 60").crossJoin(few.drop("page")).where(pdf.segment_meets_rect(*[F.col(c) for c in ("x", "y", "end_x", "end_y", "x0", "y0", "x1", "y1")])).collect()
     want = {k: min((abs(p["x"] - p["x0"]), p["rect"]) for p in pairs if p["show"] == k)[1] for k in {p["show"] for p in pairs}}
     assert 0 < len(want) < 60 and got == {k: want[k % 60] for k in range(30_000) if k % 60 in want}
+
+
+@pytest.mark.parametrize("page, texts", [("<p>one &amp</p>", ["one &"]), ("<p>AT&T x &notit; &#65 &#x42;</p>", ["AT&T x ¬it; A B"]), ("<p>a&lt<b>b&copy;</b>&nbsp</p><pre>R&D &amp x</pre>&", ["a< b©\xa0", "&"])])
+def test_references_stay_as_they_are_written(page, texts):
+    tokens, scopes = html.parse(page)
+    assert [s.text for s in scopes] == texts and html.serialize(tokens) == page
+    assert html.translate_fragment(page, html.identity_kernel) == page.replace("<b>b", "<b> b")
+    assert html.translate_fragment("<p>one &amp</p>", lambda ts: [("un &", [(0, 5, 0, 4)]) for _ in ts]) == "<p>un &amp;</p>"
+
+
+def test_rebuilt_pages_keep_references_without_a_semicolon(spark):
+    html_ = "<html><body><h1>uno &amp;&amp</h1><p><b>x&quot;</b>y &amp</p></body></html>"
+    page = spark.createDataFrame([(html_,)], "html string")
+    scopes = lambda df: df.select(html.plain_scopes(F.col("html"))).first()[0]
+    assert scopes(page.withColumn("html", html.rebuilt()(F.col("html")))) == scopes(page) == ["uno &&amp", 'x" y &amp']
