@@ -17,15 +17,16 @@ EPS = 1e-4
 # ---- characters ----
 
 
-def style_runs(chars: DataFrame) -> DataFrame:
+def style_runs(chars: DataFrame, blank: Column | None = None) -> DataFrame:
     """line, run, text, style, l, t, r, b from chars (line, ord, c, x, style, and the line's l, t, r, b).
 
     A run ends where a character that isn't blank has another style than the last such one; blanks have no style of their own. It reaches
-    from its first character to the next run's, the last one to the line's end. A line of blanks is one run without a style.
+    from its first character to the next run's, the last one to the line's end. A line of blanks is one run without a style. Blank is what
+    ``blank`` says, white space if it is not given.
     """
     order = Window.partitionBy("line").orderBy("ord")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.when(~F.col("c").rlike(r"\p{IsWhite_Space}"), F.struct("style"))
+    seen = F.when(~(F.col("c").rlike(r"\p{IsWhite_Space}") if blank is None else blank), F.struct("style"))
     last = F.last(seen, ignorenulls=True).over(past)
     begins = (seen.isNotNull() & last.isNotNull() & ~seen["style"].eqNullSafe(last["style"])).cast("int")
     runs = chars.withColumn("seen", seen).withColumn("begins", begins).withColumn("run", F.sum("begins").over(order).cast("int"))

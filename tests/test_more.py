@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from polyloom.operators import alignment, html, images, kernels, paint, pdf, samples
+from polyloom.registry import more
 from polyloom.registry.catalog import _snapshot, fixture_json
 from polyloom.sources.catalog import catalog_errors, read_catalog
 
@@ -232,3 +234,19 @@ def test_rebuilt_pages_keep_references_without_a_semicolon(spark):
     page = spark.createDataFrame([(html_,)], "html string")
     scopes = lambda df: df.select(html.plain_scopes(F.col("html"))).first()[0]
     assert scopes(page.withColumn("html", html.rebuilt()(F.col("html")))) == scopes(page) == ["uno &&amp", 'x" y &amp']
+
+
+def test_line_breaks_in_words_have_their_style(spark, tmp_path):
+    texts = [(1, "ab end.\nAt ththly the"), (2, "a b\n c\td\u2003e \n"), (3, " \n "), (4, "")]
+    spark.createDataFrame(texts, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
+    got = more.QUERIES["style_runs"](spark, str(tmp_path))
+    want = con.sql(more.ORACLES["style_runs"]).select(*got.columns).fetchall()
+    assert len(want) > 4 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_white_space_is_blank_unless_told(spark):
+    chars = spark.createDataFrame([(1, i, c, float(i), s, 0, 0, 9, 1) for i, (c, s) in enumerate([("a", "bold"), ("\n", "plain"), ("b", "bold")])], "line int, ord int, c string, x double, style string, l int, t int, r int, b int")
+    assert [r["text"] for r in pdf.style_runs(chars).collect()] == ["a\nb"]
+    assert sorted(r["text"] for r in pdf.style_runs(chars, F.lit(False)).collect()) == ["\n", "a", "b"]
