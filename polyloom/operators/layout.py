@@ -246,14 +246,17 @@ def nearest_rects(rows: DataFrame, rects: DataFrame, page: str, row: str, place:
 def rects_hit(marks: DataFrame, rects: DataFrame, page: str) -> DataFrame:
     """page, mark, rect: for each mark (page, mark, x, y) the rect (page, rect, x0, y0, x1, y1) around it with the nearest left edge; of equal ones the least id."""
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    return marks.join(rects, page).where(inside).groupBy(page, "mark").agg(F.min(F.struct(F.abs(F.col("x") - F.col("x0")), "rect")).alias("best")).select(page, "mark", F.col("best.rect").alias("rect"))
+    return nearest_rects(marks, rects, page, "mark", ["x", "y"], inside)
 
 
 def prune_links(annotations: DataFrame, removed: DataFrame, page: str) -> DataFrame:
-    """``annotations`` (page, subtype, x0, y0, x1, y1) without links that strictly overlap a removed rect (page, a0, b0, a1, b1)."""
-    gone = (F.col("subtype") == "Link") & (F.col("x0") < F.col("a1")) & (F.col("x1") > F.col("a0")) & (F.col("y0") < F.col("b1")) & (F.col("y1") > F.col("b0"))
-    r = removed.withColumnRenamed(page, "__page")
-    return annotations.join(r, (F.col(page) == F.col("__page")) & gone, "left_anti")
+    """``annotations`` (page, subtype, x0, y0, x1, y1) without links that strictly overlap a removed rect (page, a0, b0, a1, b1). Links of one shape are one to look up, and so are rects."""
+    shape = [page, "x0", "y0", "x1", "y1"]
+    gone = (F.col("x0") < F.col("a1")) & (F.col("x1") > F.col("a0")) & (F.col("y0") < F.col("b1")) & (F.col("y1") > F.col("b0"))
+    r = removed.select(F.col(page).alias("__page"), "a0", "b0", "a1", "b1").distinct()
+    hit = annotations.where("subtype = 'Link'").select(shape).distinct().join(r, (F.col(page) == F.col("__page")) & gone, "left_semi")
+    pruned = hit.select(*[F.col(c).alias(f"__{c}") for c in shape], F.lit("Link").alias("__subtype"))
+    return annotations.join(pruned, [F.col(c) == F.col(f"__{c}") for c in (*shape, "subtype")], "left_anti")
 
 
 # ---- lines to write on ----

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polyloom.operators import alignment, html, images, kernels, paint, pdf, samples
+from polyloom.operators import alignment, html, images, kernels, layout, paint, pdf, samples
 from polyloom.registry import more
 from polyloom.registry.catalog import _snapshot, fixture_json
 from polyloom.sources.catalog import catalog_errors, read_catalog
@@ -198,11 +198,11 @@ def test_image_texts(spark):
     assert [(r["img"], r["text"]) for r in lines.collect()] == [(1, "der Hund")] and [(r["img"], r["translated"], r["error"]) for r in blocks.collect()] == [(1, "der Hund", None)]
 
 
-def crowded(spark):
-    """30,000 pieces of text at 60 places of one page, and 6,000 rects of 45 shapes: 180 million pairs."""
+def crowded(spark, m=6_000):
+    """30,000 pieces of text at 60 places of one page, and ``m`` rects of 45 shapes: 180 million pairs at 6,000."""
     n = F.col("id")
     shows = spark.range(30_000).select(F.lit(1).alias("page"), n.alias("show"), (n % 10 * 7.5).alias("x"), (n % 6 * 9.25).alias("y"), (n % 10 * 7.5 + n % 4 * 5).alias("end_x"), (n % 6 * 9.25 - n % 3).alias("end_y"))
-    rects = spark.range(6_000).select(F.lit(1).alias("page"), (6_000 - n).alias("rect"), (n % 9 * 8.0).alias("x0"), (n % 5 * 10.0).alias("y0"), (n % 9 * 8.0 + 9).alias("x1"), (n % 5 * 10.0 + 4).alias("y1"))
+    rects = spark.range(m).select(F.lit(1).alias("page"), (m - n).alias("rect"), (n % 9 * 8.0).alias("x0"), (n % 5 * 10.0).alias("y0"), (n % 9 * 8.0 + 9).alias("x1"), (n % 5 * 10.0 + 4).alias("y1"))
     return shows, rects
 
 
@@ -250,3 +250,19 @@ def test_white_space_is_blank_unless_told(spark):
     chars = spark.createDataFrame([(1, i, c, float(i), s, 0, 0, 9, 1) for i, (c, s) in enumerate([("a", "bold"), ("\n", "plain"), ("b", "bold")])], "line int, ord int, c string, x double, style string, l int, t int, r int, b int")
     assert [r["text"] for r in pdf.style_runs(chars).collect()] == ["a\nb"]
     assert sorted(r["text"] for r in pdf.style_runs(chars, F.lit(False)).collect()) == ["\n", "a", "b"]
+
+
+def test_crowded_pages_of_marks_and_links(spark):
+    """30,000 marks or links at 60 places and 60,000 rects of 45 shapes: 1.8 * 10^9 pairs."""
+    shows, rects = crowded(spark, 60_000)
+    places, few = shows.where("show < 60").collect(), shapes_of(rects)
+    hits = {p["show"]: [(p["x"] - s["x0"], s["rect"]) for s in few if s["x0"] <= p["x"] <= s["x1"] and s["y0"] <= p["y"] <= s["y1"]] for p in places}
+    began = time.monotonic()
+    got = {r["mark"]: r["rect"] for r in layout.rects_hit(shows.select("page", F.col("show").alias("mark"), "x", "y"), rects, "page").collect()}
+    assert time.monotonic() - began < 60
+    assert 0 < sum(map(bool, hits.values())) < 60 and got == {k: min(hits[k % 60])[1] for k in range(30_000) if hits[k % 60]}
+    links = shows.select("page", F.col("show").alias("note"), F.when(F.col("show") % 7 == 0, "Text").otherwise("Link").alias("subtype"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 1).alias("x1"), (F.col("y") + 1).alias("y1"))
+    gone = rects.select("page", *[F.col(a).alias(b) for a, b in zip(("x0", "y0", "x1", "y1"), ("a0", "b0", "a1", "b1"))])
+    kept = {r["note"] for r in layout.prune_links(links, gone, "page").collect()}
+    over = {p["show"]: any(p["x"] < s["x1"] and p["x"] + 1 > s["x0"] and p["y"] < s["y1"] and p["y"] + 1 > s["y0"] for s in few) for p in places}
+    assert kept == {k for k in range(30_000) if k % 7 == 0 or not over[k % 60]} and time.monotonic() - began < 120
