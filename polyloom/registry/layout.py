@@ -39,7 +39,9 @@ def span_projection(spark, sf_dir):
 
 
 def span_merge(spark, sf_dir):
-    return spans.merge(spans.project(*_spans(spark, sf_dir), "doc_id"), "doc_id")
+    s, a = _spans(spark, sf_dir)
+    parts = spans.projection_parts(s, a, "doc_id")
+    return spans.merge(spans.project(s, a, "doc_id", parts), "doc_id", parts)
 
 
 def word_expand(spark, sf_dir):

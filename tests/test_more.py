@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polyloom.operators import alignment, html, images, kernels, layout, paint, pdf, samples
+from polyloom.operators import alignment, html, images, kernels, layout, paint, pdf, samples, spans
 from polyloom.registry import more
 from polyloom.registry.catalog import _snapshot, fixture_json
 from polyloom.sources.catalog import catalog_errors, read_catalog
@@ -266,3 +266,17 @@ def test_crowded_pages_of_marks_and_links(spark):
     kept = {r["note"] for r in layout.prune_links(links, gone, "page").collect()}
     over = {p["show"]: any(p["x"] < s["x1"] and p["x"] + 1 > s["x0"] and p["y"] < s["y1"] and p["y"] + 1 > s["y0"] for s in few) for p in places}
     assert kept == {k for k in range(30_000) if k % 7 == 0 or not over[k % 60]} and time.monotonic() - began < 120
+
+
+def test_tasks_of_spans_have_bounded_rows(spark, monkeypatch):
+    """However many rows: a task's share doesn't grow with the input, and the result doesn't depend on the shares."""
+    monkeypatch.setattr(spans, "TASK_ROWS", 1_000, raising=False)
+    k, d = F.col("id"), F.floor(F.col("id") / 50)
+    al = spark.range(20_000).select(d.alias("k"), (k % 50 * 10).alias("sb"), (k % 50 * 10 + 7).alias("se"), (k % 50 * 12).alias("tb"), (k % 50 * 12 + 12 - k % 2 * 3).alias("te"))
+    sp = spark.range(8_000).select(F.floor(k / 20).alias("k"), (k % 20 * 25).alias("start"), (k % 20 * 25 + 5 + k % 4 * 10).alias("end"), F.when(k % 3 == 0, "bold").otherwise("italic").alias("style"))
+    projected = spans.project(sp, al, "k")
+    merged = spans.merge(projected, "k")
+    for df in (projected, merged):
+        assert max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()) < 3_000
+    rows = lambda df: sorted(tuple(r.asDict()[c] for c in ("k", "style", "start", "end")) for r in df.collect())
+    assert rows(merged) == rows(spans.merge(spans.project(sp, al, "k", 1), "k", 1)) and len(rows(merged)) > 1_000
