@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Width of the cells in which positions meet spans by equality.
 CELL = 64
 #: Rows of all tables together that one task of a shuffle is to hold; the memory of a task follows from it, whatever the size of the input.
-TASK_ROWS = 200_000
+TASK_ROWS = 500_000
 
 
 def _cells(spans: DataFrame, key: str) -> DataFrame:

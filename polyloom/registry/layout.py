@@ -26,8 +26,10 @@ def html_rebuild_identity(spark, sf_dir):
 
 
 def _spans(spark, sf_dir):
-    """Spans and alignments by arithmetic: every document has two styles, and an alignment for each ten characters, moved and stretched."""
+    """Spans and alignments by arithmetic: every document has two styles, and an alignment for each ten characters, moved and stretched. Lengths are spread before they become rows, so that no task writes more than its share."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n")).where("n_chars > 30")
+    rows = d.agg(F.sum(F.floor(F.col("n") / 25) + F.floor(F.col("n") / 10) + 2)).first()[0] or 0
+    d = d.repartition(rows // (4 * spans.TASK_ROWS) + 1, "doc_id")
     k = F.col("k")
     s = d.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 25).cast("int"))).alias("k")).select("doc_id", (k * 25).cast("long").alias("start"), (k * 25 + 5 + k % 4 * 10).cast("long").alias("end"), F.when(k % 3 == 0, "bold").otherwise("italic").alias("style"))
     a = d.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 10).cast("int"))).alias("k")).select("doc_id", (k * 10).cast("long").alias("sb"), (k * 10 + 7).cast("long").alias("se"), (k * 12).cast("long").alias("tb"), (k * 12 + 12 - k % 2 * 3).cast("long").alias("te"))
